@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, packing, token_counts
+from millrace.llm import exact_dedup, mixing, packing, simhash, token_counts
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_simhash": simhash.op7_simhash,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
