@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_dedup, mixing, packing, simhash, token_counts
+from millrace.llm import classifier, exact_dedup, mixing, nearest, packing, simhash, token_counts, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
+    "op4_quality": classifier.op4_quality,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_nearest": nearest.op8_nearest,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
