@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import classifier, exact_dedup, mixing, nearest, packing, simhash, token_counts, warc
+from millrace.llm import classifier, exact_dedup, mixing, nearest, packing, pii, simhash, token_counts, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op4_quality": classifier.op4_quality,
