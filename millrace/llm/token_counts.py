@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import cut, table
 from millrace.llm.tokens import VOCABULARY, encoder
 
 
@@ -38,8 +38,8 @@ def _lengths(vocabulary: str):
 
 
 def histogram(docs: DataFrame, text_col: str = "text", *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows (length, n_docs), one for each encoded length that occurs."""
-    return docs.select(F.col(text_col)).mapInArrow(_lengths(vocabulary), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    """Rows (length, n_docs), one for each encoded length that occurs; kept, as sums over them need them more than once."""
+    return cut(docs.select(F.col(text_col)).mapInArrow(_lengths(vocabulary), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame, block: int = 1024) -> DataFrame:
