@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import table
 
@@ -46,21 +47,27 @@ def _statistics(text: bytes, np) -> list[float]:
     ]
 
 
-def _with_statistics(batches: Iterator) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
+def _with_statistics(place: int, kept: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(place))
+            rows = np.array([_statistics(t, np) for t in texts], dtype="float64").reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], names=[*b.schema.names[:kept], *(f"__{s}" for s in STATISTICS)])
 
-    for b in batches:
-        rows = np.array([_statistics(t.as_py() or b"", np) for t in b.column(b.num_columns - 1)], dtype="float64").reshape(-1, len(STATISTICS))
-        kept = [b.column(k) for k in range(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], names=[*b.schema.names[:-1], *(f"__{s}" for s in STATISTICS)])
+    return run
 
 
-def statistics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+def statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns to keep and one column __<statistic> each."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"__{s} double" for s in STATISTICS)])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(text.cast("binary"), F.lit(b"")).alias("__text")).mapInArrow(_with_statistics, schema)
+    fields = {f.name: f for f in docs.schema}
+    columns = [*keep, *([] if text_col in keep else [text_col])]
+    text = F.col(f"`{text_col}`").cast("string").alias(text_col)
+    kinds = [T.StructField(c, T.StringType() if c == text_col else fields[c].dataType) for c in keep]
+    schema = T.StructType([*kinds, *(T.StructField(f"__{s}", T.DoubleType()) for s in STATISTICS)])
+    return docs.select(*(text if c == text_col else F.col(f"`{c}`") for c in columns)).mapInArrow(_with_statistics(columns.index(text_col), len(keep)), schema)
 
 
 class Rules:
@@ -179,15 +186,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     known = docs.sparkSession.createDataFrame(rows, f"__id {dict(labels.dtypes)[id_col]}, __label int")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
     # a repeated identifier counts once, with its smallest text hash
-    got = statistics(texts, F.col("__t"), ["__id", "__label"]).groupBy("__id", "__label").agg(*(F.min(f"__{s}").alias(s) for s in STATISTICS)).orderBy("__id").toPandas()
+    got = statistics(texts, "__t", ["__id", "__label"]).groupBy("__id", "__label").agg(*(F.min(f"__{s}").alias(s) for s in STATISTICS)).orderBy("__id").toPandas()
     return fit_rules(np.ascontiguousarray(got[list(STATISTICS)].to_numpy(dtype="float64")), got["__label"].to_numpy(dtype="float64"), **how)
 
 
 def score(docs: DataFrame, model: Rules, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all by default) with score and predicted."""
-    keep = list(docs.columns) if keep is None else keep
-    stats = statistics(docs, F.col(f"`{text_col}`"), keep).withColumn("__score", model.column())
-    return stats.select(*(F.col(f"`{c}`") for c in keep), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    """The columns to keep (all by default) with score and predicted, which replace columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    stats = statistics(docs, text_col, keep).withColumn("score", model.column())
+    return stats.select(*(F.col(f"`{c}`") for c in keep), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Rules, text_col: str = "text") -> DataFrame:
+    """The documents that the model doesn't reject, with all their columns."""
+    return statistics(docs, text_col, docs.columns).where(model.column() >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(identifier: Column) -> Column:

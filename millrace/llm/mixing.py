@@ -124,11 +124,16 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 7, **how) -> DataFrame:
-    """The mixed documents with all their columns, repeats as rows of their own, one output shard after another."""
+    """The mixed documents with all their columns, repeats as rows of their own, one output shard after another.
+
+    A document that is cut keeps its first words as they stand; a column n_chars follows the text.
+    """
     text = F.col(f"`{text_col}`")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")), 1, F.col("__words").cast("int")), "")
     taken = pieces(docs, id_col, source_col, size=words(text), seed=seed, **how).where("__words > 0")
     taken = taken.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), part).otherwise(text))
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return taken.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 1), "__shard", F.col(f"`{id_col}`"), "__pass")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
