@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     at = F.col("__base") + F.col("__within")
     start = lambda p: p * F.col("__source_size") + at
     passes = F.when((F.col("__size") > 0) & (F.col("__quota") > at), F.sequence(F.lit(0).cast("long"), F.floor((F.col("__quota") - at - 1) / F.col("__source_size")).cast("long")))
-    keyed = keyed.withColumn("__pass", F.explode_outer(passes)).withColumn("__words", F.coalesce(F.least(F.col("__size"), F.col("__quota") - start(F.col("__pass"))), F.lit(0)))
+    keyed = keyed.withColumn("__pass", F.explode_outer(passes)).withColumn("__words", F.when(F.col("__pass").isNull(), 0).otherwise(F.least(F.col("__size"), F.col("__quota") - start(F.col("__pass")))))
     keyed = keyed.withColumn("__block", F.floor(start(F.col("__pass")) / block_words).cast("long"))
     # block quotas of the shards, and from them the shard of every block
     quotas = [-(-r["quota"] // block_words) for r in rows] or [0]
