@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column | str, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(col(c)), f)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, as Python sees it."""
     return F.regexp_replace(col(c), rf"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")
@@ -29,8 +34,9 @@ def normalize_text(c: Column | str) -> Column:
 
 def shingles(c: Column | str, k: int = 5) -> Column:
     """Distinct character k-grams; a shorter text is its only shingle."""
-    t = col(c)
-    return F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))))
+    # a look-ahead matches at every place, so all overlapping grams come from one scan of the text
+    grams = lambda t: F.when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)))
+    return bind(c, grams)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
@@ -45,17 +51,18 @@ def repetition_ratio(c: Column | str, chunk: int = 20, least: int = 200) -> Colu
     Chunks start at 0, chunk, 2 chunk, ... below length - chunk. A sorted array shows equal chunks side by side, so the
     longest run is found in one pass instead of comparing all pairs.
     """
-    t = col(c)
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(t) - chunk - 1) / chunk).cast("int"), F.lit(0)))
-    chunks = F.array_sort(F.transform(starts, lambda i: F.substring(t, i * chunk + 1, F.lit(chunk))))
     zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, x: Column) -> Column:
         run = F.when((acc["run"] > 0) & (acc["last"] == x), acc["run"] + 1).otherwise(1)
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    best = F.aggregate(chunks, zero, step, lambda acc: acc["best"])
-    return F.when(F.length(t) > least, best / F.size(starts)).otherwise(0.0)
+    def ratio(t: Column) -> Column:
+        n = F.ceil((F.length(t) - chunk) / chunk).cast("int")
+        chunks = F.array_sort(F.slice(F.regexp_extract_all(t, F.lit(f"(?s).{{{chunk}}}"), 0), F.lit(1), F.greatest(n, F.lit(0))))
+        return F.aggregate(chunks, zero, step, lambda acc: acc["best"]) / n
+
+    return F.when(F.length(col(c)) > least, bind(c, ratio)).otherwise(0.0)
 
 
 def has_digit(c: Column | str) -> Column:
