@@ -21,6 +21,15 @@ def bind(c: Column | str, f) -> Column:
     return F.transform(F.array(col(c)), f)[0]
 
 
+def once(c: Column) -> Column:
+    """The same value as a column of its own that the optimizer neither repeats nor moves.
+
+    For large expressions: a filter on one would otherwise compute it a second time below, and its rewriting by the
+    optimizer takes longer than the query.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, as Python sees it."""
     return F.regexp_replace(col(c), rf"^[{PY_SPACE}]+|[{PY_SPACE}]+$", "")

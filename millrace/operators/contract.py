@@ -38,13 +38,16 @@ def as_text(v: Column) -> Column:
 
 def as_number(v: Column) -> Column:
     """A number, boolean or numeric text as a double, by Python's rules; null if it is none."""
-    t = X.strip(as_text(v))
-    word = F.lower(t)
-    parsed = F.when(t.rlike(NUMBER_TEXT), F.regexp_replace(t, "_", "").try_cast("double"))
-    for names, value in ((("inf", "+inf", "infinity", "+infinity"), "Infinity"), (("-inf", "-infinity"), "-Infinity"), (("nan", "+nan", "-nan"), "NaN")):
-        parsed = F.when(word.isin(*names), F.lit(float(value))).otherwise(parsed)
+
+    def parsed(t: Column) -> Column:
+        word = F.lower(t)
+        out = F.when(t.rlike(NUMBER_TEXT), F.regexp_replace(t, "_", "").try_cast("double"))
+        for names, value in ((("inf", "+inf", "infinity", "+infinity"), "Infinity"), (("-inf", "-infinity"), "-Infinity"), (("nan", "+nan", "-nan"), "NaN")):
+            out = F.when(word.isin(*names), F.lit(float(value))).otherwise(out)
+        return out
+
     k = kind(v)
-    return F.when(k.isin(*NUMBERS), F.try_variant_get(v, "$", "double")).when(k == "STRING", parsed)
+    return F.when(k.isin(*NUMBERS), F.try_variant_get(v, "$", "double")).when(k == "STRING", X.bind(X.strip(as_text(v)), parsed))
 
 
 def absent(v: Column) -> Column:
@@ -99,39 +102,40 @@ def record(v: Column) -> Column:
     """The coerced record; meaningful where ``errors`` is empty."""
     parts = {"vendor_name": as_text(get(v, "vendor_name")), "currency": currency(get(v, "currency"))}
     parts |= {f: as_text(F.when(~absent(get(v, f)), get(v, f))) for f in OPTIONAL_TEXT} | {f: date(get(v, f)) for f in DATES}
-    parts |= {f: as_number(get(v, f)) for f in ("subtotal", "tax_amount", "tax_rate", "total_amount")}
+    parts |= {f: X.bind(get(v, f), as_number) for f in ("subtotal", "tax_amount", "tax_rate", "total_amount")}
     parts["line_items"] = F.transform(items(v), lambda x: F.struct(as_text(get(x, "description")).alias("description"), *(as_number(get(x, f)).alias(f) for f in ("quantity", "unit_price", "total"))))
     return F.struct(*(parts[f].alias(f) for f in FIELDS)).cast(RECORD)
 
 
+def _bound(f: str, v: Column, error) -> Column:
+    return X.bind(get(v, f), lambda x: _at(f, error(f, x)))
+
+
 def errors(v: Column) -> Column:
     """All errors of a payload as "place: message", in order of declaration; empty if it is valid."""
+
+    def error(f: str, x: Column) -> Column:
+        if f == "vendor_name":
+            return _text_error(x, True)
+        if f in OPTIONAL_TEXT:
+            return _text_error(x, False)
+        if f in DATES:
+            return F.when(~absent(x) & ~F.coalesce(date(x).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), BAD_DATE)
+        if f == "line_items":
+            return F.when(x.isNull(), MISSING).when(~F.coalesce(kind(x) == "ARRAY", F.lit(False)), NOT_LIST).when(F.size(F.try_variant_get(x, "$", "array<variant>")) == 0, NO_ITEMS)
+        if f in ("subtotal", "tax_amount"):
+            return _number_error(x, False)
+        if f == "tax_rate":
+            return F.coalesce(_number_error(x, False), X.bind(as_number(x), lambda n: F.when(F.isnan(n) | ~n.between(0.0, 1.0), BAD_RATE)))
+        if f == "total_amount":
+            return F.coalesce(_number_error(x, True), X.bind(as_number(x), lambda n: F.when(~F.isnan(n) & (n < 0), NEGATIVE)))
+        return F.when(x.isNull(), MISSING).when(F.coalesce(F.length(currency(x)), F.lit(0)) != 3, BAD_CURRENCY)
+
     checks: list[Column] = []
     for f in FIELDS:
-        x = get(v, f)
-        if f == "vendor_name":
-            e = _text_error(x, True)
-        elif f in OPTIONAL_TEXT:
-            e = _text_error(x, False)
-        elif f in DATES:
-            e = F.when(~absent(x) & ~F.coalesce(date(x).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), BAD_DATE)
-        elif f == "line_items":
-            is_list = F.coalesce(kind(x) == "ARRAY", F.lit(False))
-            e = F.when(x.isNull(), MISSING).when(~is_list, NOT_LIST).when(F.size(items(v)) == 0, NO_ITEMS)
-            checks.append(F.array(_at(f, e)))
-            checks.append(F.when(is_list, _item_errors(v)).otherwise(F.array().cast("array<string>")))
-            continue
-        elif f in ("subtotal", "tax_amount"):
-            e = _number_error(x, False)
-        elif f == "tax_rate":
-            n = as_number(x)
-            e = F.coalesce(_number_error(x, False), F.when(F.isnan(n) | ~n.between(0.0, 1.0), BAD_RATE))
-        elif f == "total_amount":
-            n = as_number(x)
-            e = F.coalesce(_number_error(x, True), F.when(~F.isnan(n) & (n < 0), NEGATIVE))
-        else:
-            e = F.when(x.isNull(), MISSING).when(F.coalesce(F.length(currency(x)), F.lit(0)) != 3, BAD_CURRENCY)
-        checks.append(F.array(_at(f, e)))
+        checks.append(F.array(_bound(f, v, error)))
+        if f == "line_items":
+            checks.append(F.when(F.coalesce(kind(get(v, f)) == "ARRAY", F.lit(False)), _item_errors(v)).otherwise(F.array().cast("array<string>")))
     found = F.filter(F.flatten(F.array(*checks)), lambda e: e.isNotNull())
     # the check of the whole record has no place, and runs only when every field is valid
     negative = F.exists(items(v), lambda x: F.coalesce(as_number(get(x, "total")) < 0, F.lit(False)))
@@ -151,9 +155,9 @@ def reason_key(error: Column) -> Column:
 def validate(df: DataFrame, payload: str = "ground_truth_json") -> DataFrame:
     """With validation_error (null if valid) and record (null unless valid). The payload is VARIANT or JSON text."""
     v = F.col(payload) if dict(df.dtypes)[payload] == "variant" else F.try_parse_json(F.col(payload))
-    df = df.withColumn("__v", v).withColumn("__errors", errors(F.col("__v")))
+    df = df.withColumn("__v", X.once(v)).withColumn("__errors", X.once(errors(F.col("__v"))))
     wrong = F.when(F.col("__v").isNull() | (kind(F.col("__v")) == "VOID"), f"Missing '{payload}' key").when(kind(F.col("__v")) != "OBJECT", F.concat(F.lit(f"{payload} is not a dict, got "), F.lower(kind(F.col("__v")))))
-    df = df.withColumn("validation_error", F.coalesce(wrong, summary(F.col("__errors"))))
+    df = df.withColumn("validation_error", X.once(F.coalesce(wrong, summary(F.col("__errors")))))
     return df.withColumn("record", F.when(F.col("validation_error").isNull(), record(F.col("__v")))).drop("__v", "__errors")
 
 

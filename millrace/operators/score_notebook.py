@@ -39,10 +39,10 @@ def rows(df: DataFrame, raw: str = "raw_output", truth: str = "ground_truth_json
     """Rows (example_id, other columns, parsed_ok, scores map<field, double>)."""
     kept = [c for c in df.columns if c not in (raw, truth, example_id)]
     t = F.col(truth) if dict(df.dtypes)[truth] == "variant" else F.try_parse_json(F.col(truth))
-    x = df.select(F.col(example_id).alias("example_id"), *kept, recover(F.col(raw), "notebook")["value"].alias("__p"), t.alias("__t"))
+    x = df.select(F.col(example_id).alias("example_id"), *kept, X.once(recover(F.col(raw), "notebook")["value"]).alias("__p"), X.once(t).alias("__t"))
     p, t = F.col("__p"), F.col("__t")
     scores = F.create_map(*(v for f in SCORED for v in (F.lit(f), same(get(p, f), get(t, f)).cast("double"))), F.lit("line_items"), line_items(p, t))
-    return x.select("example_id", *kept, p.isNotNull().alias("parsed_ok"), scores.alias("scores"))
+    return x.select("example_id", *kept, p.isNotNull().alias("parsed_ok"), X.once(scores).alias("scores"))
 
 
 def aggregate(scores: DataFrame, difficulty: str = "difficulty", known: tuple[str, ...] = ("easy", "medium", "hard")) -> DataFrame:
