@@ -16,11 +16,16 @@ VARIANTS = ("generator", "scorer", "notebook", "api", "infer", "cli")
 
 def kind(v: Column) -> Column:
     """The JSON type of a variant: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID; null if absent."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    # the schema of a whole object costs more than its fields' references
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _result(value: Column, error: Column, direct: Column) -> Column:
@@ -29,29 +34,30 @@ def _result(value: Column, error: Column, direct: Column) -> Column:
 
 def recover(raw: Column | str, variant: str = "scorer") -> Column:
     raw = F.coalesce(X.col(raw), F.lit(""))
-    none = F.lit(None).cast("variant")
     if variant in ("generator", "scorer", "cli"):
         t = X.strip_fences_by_line(raw)
     elif variant in ("notebook", "api", "infer"):
         t = X.strip_fences_anywhere(raw, trailing=variant == "api")
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    whole, block = F.try_parse_json(t), X.brace_block(t)
-    part = F.try_parse_json(block)
+    parsed = X.bind(t, lambda x: F.struct(F.try_parse_json(x).alias("whole"), X.brace_block(x).alias("block")))
+    parsed = X.bind(parsed, lambda x: F.struct(x["whole"].alias("whole"), x["block"].alias("block"), F.try_parse_json(x["block"]).alias("part")))
+    return X.bind(parsed, lambda x: _choose(x, variant))
+
+
+def _choose(x: Column, variant: str) -> Column:
+    whole, block, part = x["whole"], x["block"], x["part"]
+    no_block = F.when(block.isNull(), "No JSON object found").otherwise("JSON parse failed")
     if variant == "scorer":  # anything but an object is retried
-        value = F.when(is_object(whole), whole).when(is_object(part), part)
-        error = F.when(block.isNull(), "No JSON object found").otherwise("JSON parse failed")
+        value, error = F.when(is_object(whole), whole).when(is_object(part), part), no_block
     elif variant == "cli":  # no retry
-        value = F.when(is_object(whole), whole)
-        error = F.lit("JSON parse failed")
+        value, error = F.when(is_object(whole), whole), F.lit("JSON parse failed")
     elif variant == "generator":  # an object of a text and an object; other JSON isn't retried
         found = F.coalesce(whole, part)
         ok = is_object(found) & (kind(F.try_variant_get(found, "$.document_text", "variant")) == "STRING") & (kind(F.try_variant_get(found, "$.ground_truth_json", "variant")) == "OBJECT")
-        value = F.when(F.coalesce(ok, F.lit(False)), found)
-        error = F.lit("no generated pair")
+        value, error = F.when(F.coalesce(ok, F.lit(False)), found), F.lit("no generated pair")
     else:
-        value = F.coalesce(whole, part)
-        error = F.when(block.isNull(), "No JSON found").otherwise("Could not parse output")
+        value, error = F.coalesce(whole, part), F.when(block.isNull(), "No JSON found").otherwise("Could not parse output")
         if variant == "notebook":  # an empty object counts as a failure
             value = F.when(is_object(value) & (F.to_json(value) != "{}"), value)
-    return _result(F.coalesce(value, none), F.when(value.isNull(), error), whole.isNotNull())
+    return _result(F.coalesce(value, F.lit(None).cast("variant")), F.when(value.isNull(), error), whole.isNotNull())

@@ -80,12 +80,12 @@ def has_digit(c: Column | str) -> Column:
 
 def strip_fences_by_line(c: Column | str) -> Column:
     """A text that starts with a fence loses its first line, and its last if that is only a fence."""
-    t = strip(c)
-    lines = F.split(t, "\n")
-    n = F.size(lines)
-    last = strip(F.element_at(lines, -1)) == FENCE
-    inner = F.slice(lines, F.lit(2), F.greatest(n - F.when(last, 2).otherwise(1), F.lit(0)))
-    return F.when(t.startswith(FENCE), strip(F.array_join(inner, "\n"))).otherwise(t)
+
+    def inner(lines: Column) -> Column:
+        last = strip(F.element_at(lines, -1)) == FENCE
+        return strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - F.when(last, 2).otherwise(1), F.lit(0))), "\n"))
+
+    return bind(strip(c), lambda t: F.when(t.startswith(FENCE), bind(F.split(t, "\n"), inner)).otherwise(t))
 
 
 def strip_fences_anywhere(c: Column | str, trailing: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.functions.recover import kind
+from millrace.functions.recover import is_array, is_object, kind
 
 # Fixed values of the contract, in order of declaration.
 OPTIONAL_TEXT = ("vendor_address", "invoice_number", "bill_to", "payment_terms", "notes")
@@ -85,7 +85,7 @@ def _item_errors(v: Column) -> Column:
     def of(x: Column, i: Column) -> Column:
         place = lambda f: F.concat(F.lit("line_items."), i.cast("string"), F.lit(f".{f}"))
         d, t = get(x, "description"), get(x, "total")
-        whole = F.when(~F.coalesce(kind(x) == "OBJECT", F.lit(False)), F.concat(F.lit("line_items."), i.cast("string"), F.lit(f": {NOT_OBJECT}")))
+        whole = F.when(~is_object(x), F.concat(F.lit("line_items."), i.cast("string"), F.lit(f": {NOT_OBJECT}")))
         n = as_number(t)
         own = F.array(
             _at(place("description"), F.coalesce(_text_error(d, True), F.when(F.length(as_text(d)) == 0, NO_TEXT))),
@@ -122,7 +122,7 @@ def errors(v: Column) -> Column:
         if f in DATES:
             return F.when(~absent(x) & ~F.coalesce(date(x).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)), BAD_DATE)
         if f == "line_items":
-            return F.when(x.isNull(), MISSING).when(~F.coalesce(kind(x) == "ARRAY", F.lit(False)), NOT_LIST).when(F.size(F.try_variant_get(x, "$", "array<variant>")) == 0, NO_ITEMS)
+            return F.when(x.isNull(), MISSING).when(~is_array(x), NOT_LIST).when(F.size(F.try_variant_get(x, "$", "array<variant>")) == 0, NO_ITEMS)
         if f in ("subtotal", "tax_amount"):
             return _number_error(x, False)
         if f == "tax_rate":
@@ -135,7 +135,7 @@ def errors(v: Column) -> Column:
     for f in FIELDS:
         checks.append(F.array(_bound(f, v, error)))
         if f == "line_items":
-            checks.append(F.when(F.coalesce(kind(get(v, f)) == "ARRAY", F.lit(False)), _item_errors(v)).otherwise(F.array().cast("array<string>")))
+            checks.append(F.when(is_array(get(v, f)), _item_errors(v)).otherwise(F.array().cast("array<string>")))
     found = F.filter(F.flatten(F.array(*checks)), lambda e: e.isNotNull())
     # the check of the whole record has no place, and runs only when every field is valid
     negative = F.exists(items(v), lambda x: F.coalesce(as_number(get(x, "total")) < 0, F.lit(False)))
@@ -156,7 +156,7 @@ def validate(df: DataFrame, payload: str = "ground_truth_json") -> DataFrame:
     """With validation_error (null if valid) and record (null unless valid). The payload is VARIANT or JSON text."""
     v = F.col(payload) if dict(df.dtypes)[payload] == "variant" else F.try_parse_json(F.col(payload))
     df = df.withColumn("__v", X.once(v)).withColumn("__errors", X.once(errors(F.col("__v"))))
-    wrong = F.when(F.col("__v").isNull() | (kind(F.col("__v")) == "VOID"), f"Missing '{payload}' key").when(kind(F.col("__v")) != "OBJECT", F.concat(F.lit(f"{payload} is not a dict, got "), F.lower(kind(F.col("__v")))))
+    wrong = F.when(is_object(F.col("__v")), None).when(F.col("__v").isNull() | (kind(F.col("__v")) == "VOID"), f"Missing '{payload}' key").otherwise(F.concat(F.lit(f"{payload} is not a dict, got "), F.lower(kind(F.col("__v")))))
     df = df.withColumn("validation_error", X.once(F.coalesce(wrong, summary(F.col("__errors")))))
     return df.withColumn("record", F.when(F.col("validation_error").isNull(), record(F.col("__v")))).drop("__v", "__errors")
 

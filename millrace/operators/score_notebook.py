@@ -23,7 +23,7 @@ def normalize(v: Column) -> Column:
 
 
 def same(a: Column, b: Column) -> Column:
-    return normalize(a).eqNullSafe(normalize(b))
+    return X.bind(a, normalize).eqNullSafe(X.bind(b, normalize))
 
 
 def line_items(predicted: Column, truth: Column) -> Column:
