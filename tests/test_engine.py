@@ -172,7 +172,8 @@ def test_split_refuses_small_inputs_and_quotas_add_up():
 
 
 def test_sources_lock_and_chain(spark, tmp_path):
-    lines = [json.dumps({"id": f"e{i:02d}", "scenario_id": "s", "difficulty": "easy", "document_text": f"Invoice {i} " + " ".join(random.Random(i).choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(i) for _ in range(40)), "ground_truth_json": BASE}) for i in range(60)]
+    rng = random.Random(1)
+    lines = [json.dumps({"id": f"e{i:02d}", "scenario_id": "s", "difficulty": "easy", "document_text": f"Invoice {i} " + "".join(rng.choice("abcdefghijklmnop ") for _ in range(300)), "ground_truth_json": BASE}) for i in range(60)]
     (tmp_path / "raw.jsonl").write_text("\n".join([*lines, "", "  ", "{bad", "[1]", json.dumps({"id": "x", "document_text": "t", "ground_truth_json": {}})]))
     rows = jsonl.scan(spark, f"{tmp_path}/raw.jsonl")
     assert rows.count() == 63 and rows.where("problem is not null").count() == 2 and jsonl.scan(spark, f"{tmp_path}/raw.jsonl", "drop").count() == 61
