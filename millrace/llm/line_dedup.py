@@ -18,10 +18,12 @@ columns of the input pass through; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, cut, table
+from millrace.llm.common import WHITE, cut, shared_dir, table
 
 
 def masked(line: Column) -> Column:
@@ -46,15 +48,19 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """Rows (key, lines): for each document that loses lines, its key and the hashes of the lines to drop."""
     lines = docs.where(F.col(f"`{text_col}`").isNotNull()).select(document_key(id_col, text_col).alias("key"), F.explode(F.split(F.col(f"`{text_col}`"), "\n")).alias("raw"))
     lines = lines.where(F.length("raw") >= 2 * least_words - 1).select("key", masked(F.col("raw")).alias("t")).where(n_words(F.col("t")) >= least_words)
-    lines = lines.select("key", "t", F.xxhash64(n_words(F.col("t")), F.substring_index("t", " ", depth)).alias("leaf"))
-    digest = F.unhex(F.md5("t")).alias("line")
-    slim = cut(lines.select("key", "leaf", digest).distinct())
+    lines = lines.select("key", "t", F.xxhash64(n_words(F.col("t")), F.substring_index("t", " ", depth)).alias("leaf"), F.unhex(F.md5("t")).alias("line"))
+    # split and masked once: a compressed table about as large as the texts, of which the first step reads the hashes
+    spark = docs.sparkSession
+    kept_at = f"{shared_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    lines.write.parquet(kept_at)
+    lines = spark.read.parquet(kept_at)
+    slim = cut(lines.select("key", "leaf", "line").distinct())
     leaves = slim.groupBy("leaf", "line").agg(F.count("*").alias("d")).groupBy("leaf").agg(F.sum("d").alias("d"), F.count("*").alias("n_lines")).where(F.col("d") >= least_documents)
     leaves = cut(leaves)
     # words of the distinct lines of the leaves to generalise
     wide = leaves.where("n_lines > 1").select("leaf", "n_lines")
-    texts = lines.select("leaf", "t").join(wide, "leaf").groupBy("leaf", "t", "n_lines").agg(F.lit(1).alias("one"))
-    words = cut(texts.select("leaf", digest, "n_lines", F.posexplode(F.split("t", " ")).alias("at", "word")))
+    texts = lines.select("leaf", "line", "t").join(wide, "leaf").groupBy("leaf", "line", "t", "n_lines").agg(F.lit(1).alias("one"))
+    words = cut(texts.select("leaf", "line", "n_lines", F.posexplode(F.split("t", " ")).alias("at", "word")))
     common = words.groupBy("leaf", "at", "n_lines", "word").agg(F.count("*").alias("n")).groupBy("leaf", "at", "n_lines").agg(F.max(F.struct("n", "word")).alias("top"))
     common = common.where(F.col("top.n") >= least_share * F.col("n_lines")).select("leaf", "at", F.col("top.word").alias("word"))
     kept = words.join(common, ["leaf", "at", "word"], "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("kept"))
