@@ -35,8 +35,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 NORMAL = "trim(regexp_replace(regexp_replace(lower(text), '\\p{Nd}+', '', 'g'), '[^a-z]+', ' ', 'g'))"
 SETS = f"t AS (SELECT doc_id, {NORMAL} AS t FROM documents), s AS (SELECT doc_id, CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS s FROM t)"
 # a token of one document only joins nothing; sizes are those of whole sets
-PAIRS = f"{SETS}, x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), hits AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 25 * a.n >= 18 * b.n AND 25 * b.n >= 18 * a.n GROUP BY a.doc_id, b.doc_id), p AS (SELECT a, b, c / (na + nb - c) AS jaccard FROM hits WHERE 25 * c >= 18 * (na + nb - c))"
-GREEDY = f"""{PAIRS}, o AS (SELECT b AS id, list(a ORDER BY a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+PAIRS = f"{SETS}, x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), hits AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 25 * a.n >= 18 * b.n AND 25 * b.n >= 18 * a.n GROUP BY a.doc_id, b.doc_id), p AS MATERIALIZED (SELECT a, b, c / (na + nb - c) AS jaccard FROM hits WHERE 25 * c >= 18 * (na + nb - c))"
+GREEDY = f"""{PAIRS}, o AS MATERIALIZED (SELECT b AS id, list(a ORDER BY a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
 walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone, NULL::BIGINT AS id, NULL::BIGINT AS duplicate_of UNION ALL
   SELECT o.i, CASE WHEN len(list_filter(o.earlier, lambda e: NOT list_contains(walk.gone, e))) > 0 THEN list_append(walk.gone, o.id) ELSE walk.gone END, o.id, list_min(list_filter(o.earlier, lambda e: NOT list_contains(walk.gone, e)))
   FROM walk JOIN o ON o.i = walk.i + 1),
