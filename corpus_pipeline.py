@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import classifier, exact_dedup, mixing, packing, simhash
+from millrace.llm import classifier, exact_dedup, mixing, packing
+from millrace.llm import near as nearcopies
 from millrace.llm.common import shared_dir, table
 
 
@@ -28,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest identifier stays."""
-    return simhash.deduplicate(docs)
+    """Of each component of documents linked at five words and similarity 0.8 that with the smallest identifier stays."""
+    return nearcopies.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
     ("exact dedup", exact),
-    ("SimHash near-dedup", near),
+    ("near-dedup", near),
     ("mixing", mixed),
     ("packing", packed),
 ]
 
-#: SQL can't express a trained classifier, XXH64 fingerprints or a tokenizer.
+#: SQL can't express a trained classifier, XXH64 shingles or a tokenizer.
 ORACLE_SQL = None
 
 

@@ -23,19 +23,25 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, cut, table
 
 
+def spans(text: bytes, shingle: int, np) -> list[bytes]:
+    """The text's shingles in order, with repeats; a text of fewer words is one."""
+    words = text.lower().split()  # of bytes: A-Z only, and the six ASCII blanks
+    if not words:
+        return []
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype="int64", count=len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    return [joined[a:b] for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
 def _fingerprints(shingle: int, seed: int):
     def fingerprint(text: bytes, np, digest, bits) -> int:
-        words = text.lower().split()  # of bytes: A-Z only, and the six ASCII blanks
-        if not words:
+        found = spans(text, shingle, np)
+        if not found:
             return 0
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            spans = [joined]
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), dtype="int64", count=len(words)) + 1)
-            starts = np.concatenate([[0], ends[:-1]])
-            spans = [joined[a:b] for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-        h = np.array([digest(s, seed) for s in spans], dtype="<u8").view("uint8").reshape(-1, 8)
+        h = np.array([digest(s, seed) for s in found], dtype="<u8").view("uint8").reshape(-1, 8)
         if len(h) < 64:
             ones = np.unpackbits(h, axis=1, bitorder="little").sum(axis=0)
         else:
