@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, cut
-from millrace.llm.simhash import spans
+from millrace.llm.simhash import spans, text_digest
 
 
 def _shingles(text: bytes, shingle: int, seed: int, np, digest):
@@ -78,10 +78,6 @@ def _sets(shingle: int, seed: int):
     return run
 
 
-def text_digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, bands: int = 40, width: int = 5, seed: int = 42, most_rounds: int = 8, dense: int = 8) -> DataFrame:
     """A row for each document: id, digest of its text, row, head (id, digest and row of its component's first)."""
     text = F.col(f"`{text_col}`").cast("binary")

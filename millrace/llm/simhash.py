@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import components, cut, table
@@ -56,14 +56,20 @@ def _fingerprints(shingle: int, seed: int):
         bits = np.unpackbits(np.arange(256, dtype="uint8")[:, None], axis=1, bitorder="little").astype("int64")
         for b in batches:
             prints = [fingerprint(t.as_py() or b"", np, xxh64_intdigest, bits) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, dtype="uint64").view("int64"))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, dtype="uint64").view("int64")), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """Rows (id, fp): the majority bits of XXH64 over lower-cased word shingles, as a signed 64-bit number."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
+    """Rows (id, fp), with the text's digest if asked: the majority bits of XXH64 over lower-cased word shingles, as a signed 64-bit number."""
+    more = [text_digest(F.col(text_col)).alias("digest")] if digest else []
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
+    return slim.mapInArrow(_fingerprints(shingle, seed), "id long, fp long" + ", digest binary" * digest)
 
 
 class BKTree:
@@ -169,9 +175,9 @@ def links(prints: DataFrame, radius: int = 2, shard: int = 512) -> DataFrame:
     return cells.groupBy("shard", "tree", "block").applyInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """A row for each document: id, row, fp, component (smallest identifier that its fingerprint reaches), first (bool)."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed).withColumn("row", F.monotonically_increasing_id()))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, radius: int = 2, digest: bool = False) -> DataFrame:
+    """A row for each document: id, row, fp, component (smallest identifier that its fingerprint reaches), first (bool), and its text's digest if asked."""
+    prints = cut(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, digest=digest).withColumn("row", F.monotonically_increasing_id()))
     by_print = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low"))
     by_print = cut(by_print)
     roots = components(links(by_print.select("fp"), radius))
@@ -179,17 +185,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     led = by_print.join(roots, by_print["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     heads = led.groupBy("root").agg(F.min("low").alias("head"))
     led = led.join(heads, "root").select("fp", "head")
-    return prints.join(led, "fp").select("id", "row", "fp", F.col("head.id").alias("component"), (F.col("row") == F.col("head.row")).alias("first"))
+    return prints.join(led, "fp").select("id", "row", "fp", F.col("head.id").alias("component"), (F.col("row") == F.col("head.row")).alias("first"), *["digest"] * digest)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The documents that stay (one of each component, that with the smallest identifier), with all their columns."""
-    own = ["__none", "__id"]
-    keys = lambda i: (F.col(i).isNull().alias(own[0]), F.coalesce(F.col(i).cast("string"), F.lit("")).alias(own[1]))
-    firsts = classes(docs, id_col, text_col, shingle=shingle, seed=seed, radius=radius).where("first").select(*keys("id"))
-    # rows may repeat an identifier with other texts; only one row of each identifier is a first, so one row stays
+    own = ["__digest", "__none", "__id"]
+    keys = lambda digest, i: (digest.alias(own[0]), F.col(i).isNull().alias(own[1]), F.coalesce(F.col(i).cast("string"), F.lit("")).alias(own[2]))
+    firsts = classes(docs, id_col, text_col, shingle=shingle, seed=seed, radius=radius, digest=True).where("first").select(*keys(F.col("digest"), "id"))
+    # rows may repeat an identifier with other texts, which can lead components of their own; rows that repeat both are one
     w = Window.partitionBy(*own).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)))
-    out = docs.select("*", *keys(id_col)).join(firsts.distinct(), own, "left_semi")
+    out = docs.select("*", *keys(text_digest(F.col(text_col)), id_col)).join(firsts, own, "left_semi")
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
