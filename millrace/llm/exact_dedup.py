@@ -1,9 +1,10 @@
-"""Exact deduplication by a tree-merge of sorted digest runs.
+"""Exact deduplication by rounds of grouped aggregations over digests.
 
-Every partition sorts its digests into one run of (digest, smallest identifier, count). In binomial rounds, groups of
-``fan_in`` neighbouring runs exchange digest ranges and merge; after round r a run holds 1 / fan_in**r of the digests of
-fan_in**r partitions, so nothing ever gathers in one root, and a digest that a third of all rows carry is one row of
-each run. Runs that meet agree only when SHA-256, the length in bytes and an independent 64-bit hash agree.
+Every partition aggregates its rows by digest into (digest, smallest identifier, count). In rounds, the blocks of
+``fan_in`` neighbouring runs exchange digest ranges and aggregate again by (run, digest): hash exchanges, in which no run
+is kept sorted or merged. After round r a run holds 1 / fan_in**r of the digests of fan_in**r partitions, so nothing
+ever gathers in one root, and a digest that a third of all rows carry is one row of each run. Rows are one group only
+where SHA-256, the length in bytes and an independent 64-bit hash agree.
 
 Defined cases: a null text counts as empty; a null identifier is larger than any other and stays only where its whole
 group has none; of rows that repeat an identifier exactly one stays; an empty table gives an empty table; columns of
