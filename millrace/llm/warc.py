@@ -10,7 +10,7 @@ Records with equal payloads (SHA-1 and length) of at least ``least_bytes``: that
 response and the others are revisits that name it. Smaller payloads are all responses.
 
 Defined cases: a null payload is empty; a null identifier sorts below all others and is kept as null; of rows that
-repeat identifier and payload one is the response; null addresses are empty and control characters in them are
+repeat identifier and payload one is the response and names of records stay unique; null addresses are empty and control characters in them are
 percent-encoded; an empty table gives no records; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, shared_dir, table
@@ -28,36 +28,54 @@ from millrace.llm.common import cut, shared_dir, table
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 #: Date of every record that this operator writes: runs of the same input give the same files.
 DATE = "1970-01-01T00:00:00Z"
-INDEX = "id long, offset long, size long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+INDEX = "record_id string, offset long, size long, record_type string, payload_bytes long, payload_digest string, refers_to string, archive string"
 
 
-def assign(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """Rows (row, id, payload, n_bytes, sha, kind, refers): which record is a response and which a revisit."""
-    # hashes first and without the payload, so that the rows which meet are small
-    base = pages.withColumn("__payload", F.coalesce(F.col(payload_col).cast("string"), F.lit(""))).withColumn("__row", F.monotonically_increasing_id())
-    base = base.withColumn("__bytes", F.octet_length("__payload").cast("long")).withColumn("__sha", F.unhex(F.sha1(F.col("__payload").cast("binary"))))
-    slim = cut(base.select("__row", F.col(id_col).cast("long").alias("id"), "__bytes", "__sha"))
-    first = slim.groupBy("__sha", "__bytes").agg(F.max(F.struct("id", "__row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = slim.where(F.col("__bytes") >= least_bytes).join(first, ["__sha", "__bytes"]).where(F.col("__row") != F.col("first.__row")).select(F.col("__row").alias("row_again"), F.lit(True).alias("again"), F.col("first.id").alias("refers"))
-    return base.join(again, base["__row"] == again["row_again"], "left").drop("row_again")
+def base32(sha_hex: Column) -> Column:
+    """The base32 spelling of 20 bytes that are given in hex: eight letters for each five bytes."""
+    letters = []
+    for k in range(4):
+        number = F.conv(F.substring(sha_hex, 10 * k + 1, 10), 16, 10).cast("long")
+        letters += [F.substring(F.lit(BASE32), F.shiftright(number, 35 - 5 * j).bitwiseAND(31).cast("int") + 1, F.lit(1)) for j in range(8)]
+    return F.concat(*letters)
+
+
+def assign(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
+    """Rows (row, id, url, payload, n_bytes, sha, refers_id, refers_row): the last two of revisits only."""
+    # hashes first and without the payload, so that the rows which meet are small; a scan gives the same row numbers twice
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    base = base.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    slim = cut(base.select("row", "id", "n_bytes", "sha"))
+    first = slim.groupBy("sha", "n_bytes").agg(F.max(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = slim.where(F.col("n_bytes") >= least_bytes).join(first, ["sha", "n_bytes"]).where(F.col("row") != F.col("first.row"))
+    again = again.select("row", F.col("first.id").alias("refers_id"), F.col("first.row").alias("refers_row"))
+    return base.join(again, "row", "left")
+
+
+def record_id(identifier: Column, row: Column) -> Column:
+    """Unique for each record, also where identifiers repeat or are null."""
+    return F.concat(F.lit("<urn:millrace:page:"), F.coalesce(identifier.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, least_bytes: int = 0) -> DataFrame:
     """One text row for each record, without the end that the writer adds."""
-    rows = assign(pages, id_col, payload_col, least_bytes)
-    name = lambda c: F.coalesce(F.concat(F.lit("<urn:millrace:page:"), c.cast("string"), F.lit(">")), F.lit("<urn:millrace:page:null>"))
-    again = F.coalesce(F.col("again"), F.lit(False))
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    rows = assign(pages, id_col, url_col, payload_col, least_bytes)
+    again = F.col("refers_row").isNotNull()
+    url = F.coalesce("url", F.lit(""))
     for bad in ("\r", "\n", "\0"):
         url = F.replace(url, F.lit(bad), F.lit(f"%{ord(bad):02X}"))
     header = F.concat_ws(
         "\r\n", F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), name(F.col(id_col))), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), url),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.lower(F.hex("__sha"))), F.concat(F.lit("X-Payload-Length: "), F.col("__bytes")),
-        F.when(again, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers")))),
-        F.concat(F.lit("Content-Length: "), F.when(again, F.lit(0).cast("long")).otherwise(F.col("__bytes"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"), F.col("row"))), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.hex("sha"))), F.concat(F.lit("X-Payload-Length: "), F.col("n_bytes")),
+        F.when(again, F.lit(f"WARC-Profile: {PROFILE}")),
+        F.when(again, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_id"), F.col("refers_row")))),
+        F.concat(F.lit("Content-Length: "), F.when(again, F.lit(0).cast("long")).otherwise(F.col("n_bytes"))),
     )
-    return rows.select(F.concat(header, F.lit("\r\n\r\n"), F.when(again, "").otherwise(F.col("__payload"))).alias("value"))
+    return rows.select(F.concat(header, F.lit("\r\n\r\n"), F.when(again, "").otherwise(F.col("payload"))).alias("value"))
 
 
 def write_monolithic(rows: DataFrame, path: str, most_records: int = 4000) -> None:
@@ -96,23 +114,51 @@ def split_stream(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
         yield header, raw[at + 4 : size], raw
 
 
-def inflate(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file (any number of members), a step at a time."""
+def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip file (any number of members), a step at a time; a file that ends within a member is an error."""
     import zlib
 
-    d = zlib.decompressobj(31)
-    for at in range(0, len(content), step):
-        data = content[at : at + step]
+    d, inside = zlib.decompressobj(31), False
+    for data in chunks:
         while data:
-            yield d.decompress(data)
+            inside = True
+            yield d.decompress(data, 1 << 22)
+            while d.unconsumed_tail:
+                yield d.decompress(d.unconsumed_tail, 1 << 22)
             data = d.unused_data
             if d.eof:
-                d = zlib.decompressobj(31)
+                d, inside = zlib.decompressobj(31), False
+    if inside:
+        raise ValueError("a gzip member is cut off")
+
+
+def located(path: str):
+    """Arrow's file system and the path in it; Spark spells local files with one slash."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+
 
+def digest_of(header: dict[str, str], payload: bytes, whole: bool) -> str:
+    """The record's SHA-1 in base32, computed where the record holds its whole payload, else as its header has it."""
+    import base64
+    import hashlib
 
-def identifier(urn: str) -> int | None:
-    last = urn.rstrip(">").rpartition(":")[2]
-    return None if last == "null" else int(last)
+    said = header.get("warc-payload-digest", "").partition(":")[2].upper()
+    if not whole and said:
+        return said
+    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if whole and said and said != found and "x-payload-length" in header:  # others may hash another part of the block
+        raise ValueError(f"the payload of {header.get('warc-record-id')} doesn't match its digest")
+    return found
+
+
+def described(header: dict[str, str], payload: bytes) -> tuple:
+    """(record_type, payload_bytes, payload_digest, refers_to) of a record."""
+    kind = header.get("warc-type", "")
+    again = kind == "revisit"
+    size = int(header["x-payload-length"]) if again and "x-payload-length" in header else len(payload)
+    return kind, size, digest_of(header, payload, not again), header.get("warc-refers-to") if again else None
 
 
 def member(raw: bytes, level: int) -> bytes:
@@ -124,48 +170,49 @@ def member(raw: bytes, level: int) -> bytes:
 
 def _normalise(out: str, level: int):
     def run(batches: Iterator) -> Iterator:
-        import base64
         import hashlib
         import posixpath
 
         import pyarrow as pa
         import pyarrow.parquet as pq
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(out)
+        store, root = located(out)
         store.create_dir(root, recursive=True)
         names = [f.split()[0] for f in INDEX.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string()}
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                name = posixpath.basename(path).partition(".")[0]
-                attempt = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}.{uuid.uuid4().hex[:8]}"
-                rows, offset = [], 0
-                with store.open_output_stream(f"{attempt}.warc.gz", compression=None) as f:
-                    for header, payload, raw in split_stream(inflate(memoryview(content.as_buffer()))):
-                        data = member(raw, level)
-                        f.write(data)
-                        kind, digest = header["warc-type"], header["warc-payload-digest"].partition(":")[2]
-                        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"{path}: the payload of {header['warc-record-id']} doesn't match its digest")
-                        digest = base64.b32encode(bytes.fromhex(digest)).decode()
-                        refers = identifier(header["warc-refers-to"]) if "warc-refers-to" in header else None
-                        rows.append((identifier(header["warc-record-id"]), offset, len(data), kind, int(header["x-payload-length"]), digest, refers, f"{root}/{name}.warc.gz"))
-                        offset += len(data)
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                index = pa.table([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, INDEX.split(", "), strict=True)], names=names)
-                pq.write_table(index, f"{attempt}.index", filesystem=store)
-                for end, last in ((".warc.gz", ".warc.gz"), (".index", ".index.parquet")):
-                    store.move(f"{attempt}{end}", f"{root}/{name}{last}")
-                yield from index.to_batches()
+        for path in (p for b in batches for p in b.column(0).to_pylist()):
+            # names of different paths never meet
+            name = posixpath.basename(path)
+            for end in (".gz", ".txt", ".warc"):
+                name = name.removesuffix(end)
+            name = f"{name}-{hashlib.md5(path.encode()).hexdigest()[:12]}"
+            attempt = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}.{uuid.uuid4().hex[:8]}"
+            rows, offset = [], 0
+            source, place = located(path)
+            with source.open_input_stream(place, compression=None) as file, store.open_output_stream(f"{attempt}.warc.gz", compression=None) as f:
+                for header, payload, raw in split_stream(inflate(iter(lambda file=file: file.read(1 << 20), b""))):
+                    data = member(raw, level)
+                    f.write(data)
+                    kind, n_bytes, digest, refers = described(header, payload)
+                    rows.append((header.get("warc-record-id"), offset, len(data), kind, n_bytes, digest, refers, f"{root}/{name}.warc.gz"))
+                    offset += len(data)
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            index = pa.table([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, INDEX.split(", "), strict=True)], names=names)
+            pq.write_table(index, f"{attempt}.index", filesystem=store)
+            for end, last in ((".warc.gz", ".warc.gz"), (".index", ".index.parquet")):
+                store.move(f"{attempt}{end}", f"{root}/{name}{last}")
+            yield from index.to_batches()
 
     return run
 
 
 def normalise(spark: SparkSession, monolithic: str, out: str, level: int = 4) -> DataFrame:
-    """Writes archives and sidecar indexes into out and returns the indexes' rows, read back from there."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(monolithic).select("path", "content")
+    """Writes archives and sidecar indexes into out and returns the indexes' rows, read back from there.
+
+    Tasks get paths only and read each file as a stream, so a task holds one record and one step of a file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(monolithic).select("path")
     written = files.mapInArrow(_normalise(out, level), INDEX).agg(F.count("*").alias("n")).first()["n"]
     if not written:
         return spark.createDataFrame([], INDEX)
@@ -174,17 +221,16 @@ def normalise(spark: SparkSession, monolithic: str, out: str, level: int = 4) ->
 
 def _members(out: str):
     def run(batches: Iterator) -> Iterator:
-        import base64
-        import hashlib
         import zlib
 
         import pyarrow as pa
-        from pyarrow import fs
 
-        store = fs.FileSystem.from_uri(out)[0]
+        store = located(out)[0]
+        names = ["record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         name, f = None, None
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for r in b.to_pylist():
                 if r["archive"] != name:
                     if f:
@@ -192,12 +238,13 @@ def _members(out: str):
                     name, f = r["archive"], store.open_input_file(r["archive"])
                 f.seek(r["offset"])
                 header, payload, _ = next(split_stream(iter([zlib.decompress(f.read(r["size"]), 31)])))
-                again = header["warc-type"] == "revisit"
-                digest = header["warc-payload-digest"].partition(":")[2] if again else hashlib.sha1(payload).hexdigest()
-                rows.append((identifier(header["warc-record-id"]), int(header["x-payload-length"]) if again else len(payload), base64.b32encode(bytes.fromhex(digest)).decode(), header["warc-type"], identifier(header["warc-refers-to"]) if again else None, payload))
+                rows.append((header.get("warc-record-id"), *described(header, payload), payload))
+                held += len(payload)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, held = [], 0
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         if f:
             f.close()
 
@@ -205,13 +252,18 @@ def _members(out: str):
 
 
 def read_records(index: DataFrame, out: str) -> DataFrame:
-    """Every indexed record, each read from its own member: id, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """Every indexed record, each read from its own member: record_id, record_type, payload_bytes, payload_digest, refers_to, payload."""
     rows = index.select("archive", "offset", "size")
-    return rows.mapInArrow(_members(out), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return rows.mapInArrow(_members(out), "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+
+
+def page_of(record: Column) -> Column:
+    """The page's identifier in the name of a record that this module wrote; null where the page had none."""
+    return F.nullif(F.regexp_extract(record, r":page:(-?[0-9]+):[0-9]+>$", 1), F.lit("")).cast("long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_monolithic(records(table(spark, sf_dir, "pages")), f"{root}/monolithic")
     index = normalise(spark, f"{root}/monolithic", f"{root}/archives")
-    return read_records(index, f"{root}/archives").select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(index, f"{root}/archives").select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
