@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import table
+from millrace.llm.common import bounded_batches, table
 
 #: Statistics of whole texts, in this order; shares are of characters (in UTF-8 bytes) or of words.
 STATISTICS = ("log_chars", "log_words", "log_lines", "upper", "digit", "sign", "blank", "beyond_ascii", "sentence_ends", "word_length", "long_words", "distinct_words", "top_word", "words_with_sign", "short_lines", "repeated_lines")
@@ -47,7 +47,7 @@ def _statistics(text: bytes, np) -> list[float]:
     ]
 
 
-def _with_statistics(place: int, kept: int):
+def _with_statistics(place: int, kept: int, prefix: str):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -55,19 +55,28 @@ def _with_statistics(place: int, kept: int):
         for b in batches:
             texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(place))
             rows = np.array([_statistics(t, np) for t in texts], dtype="float64").reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], names=[*b.schema.names[:kept], *(f"__{s}" for s in STATISTICS)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], names=[*b.schema.names[:kept], *(f"{prefix}{s}" for s in STATISTICS)])
 
     return run
 
 
-def statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns to keep and one column __<statistic> each."""
+def free_prefix(names: list[str]) -> str:
+    """Underscores that no name starts with, two at least."""
+    prefix = "__"
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
+def statistics(docs: DataFrame, text_col: str, keep: list[str], prefix: str = "__") -> DataFrame:
+    """The columns to keep and one column <prefix><statistic> each."""
+    bounded_batches(docs.sparkSession)
     fields = {f.name: f for f in docs.schema}
     columns = [*keep, *([] if text_col in keep else [text_col])]
     text = F.col(f"`{text_col}`").cast("string").alias(text_col)
     kinds = [T.StructField(c, T.StringType() if c == text_col else fields[c].dataType) for c in keep]
-    schema = T.StructType([*kinds, *(T.StructField(f"__{s}", T.DoubleType()) for s in STATISTICS)])
-    return docs.select(*(text if c == text_col else F.col(f"`{c}`") for c in columns)).mapInArrow(_with_statistics(columns.index(text_col), len(keep)), schema)
+    schema = T.StructType([*kinds, *(T.StructField(f"{prefix}{s}", T.DoubleType()) for s in STATISTICS)])
+    return docs.select(*(text if c == text_col else F.col(f"`{c}`") for c in columns)).mapInArrow(_with_statistics(columns.index(text_col), len(keep), prefix), schema)
 
 
 class Rules:
@@ -76,9 +85,9 @@ class Rules:
     def __init__(self, rules: list[list[tuple[int, bool, float]]], weights: list[float], intercept: float):
         self.rules, self.weights, self.intercept = rules, weights, intercept
 
-    def column(self, of: dict[int, Column] | None = None) -> Column:
+    def column(self, prefix: str = "__") -> Column:
         """The score as an expression over the statistics' columns."""
-        stat = lambda k: of[k] if of else F.col(f"__{STATISTICS[k]}")
+        stat = lambda k: F.col(f"{prefix}{STATISTICS[k]}")
         total = F.lit(float(self.intercept))
         for rule, weight in zip(self.rules, self.weights, strict=True):
             holds = None
@@ -185,21 +194,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         return Rules([], [], 0.0)
     known = docs.sparkSession.createDataFrame(rows, f"__id {dict(labels.dtypes)[id_col]}, __label int")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
-    # a repeated identifier counts once, with its smallest text hash
-    got = statistics(texts, "__t", ["__id", "__label"]).groupBy("__id", "__label").agg(*(F.min(f"__{s}").alias(s) for s in STATISTICS)).orderBy("__id").toPandas()
+    texts = texts.withColumn("__hash", F.xxhash64("__t"))
+    # a repeated identifier counts once, with the statistics of the text of the smallest hash
+    whole = F.min(F.struct("__hash", *(F.col(f"s_{s}").alias(s) for s in STATISTICS))).alias("row")
+    got = statistics(texts, "__t", ["__id", "__label", "__hash"], "s_").groupBy("__id", "__label").agg(whole).orderBy("__id").select("__id", "__label", "row.*").toPandas()
     return fit_rules(np.ascontiguousarray(got[list(STATISTICS)].to_numpy(dtype="float64")), got["__label"].to_numpy(dtype="float64"), **how)
 
 
 def score(docs: DataFrame, model: Rules, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (all by default) with score and predicted, which replace columns of these names."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    stats = statistics(docs, text_col, keep).withColumn("score", model.column())
-    return stats.select(*(F.col(f"`{c}`") for c in keep), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    prefix = free_prefix([*keep, "score", "predicted"])
+    scored = statistics(docs, text_col, keep, prefix).select(*(F.col(f"`{c}`") for c in keep), model.column(prefix).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, model: Rules, text_col: str = "text") -> DataFrame:
     """The documents that the model doesn't reject, with all their columns."""
-    return statistics(docs, text_col, docs.columns).where(model.column() >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = free_prefix(docs.columns)
+    return statistics(docs, text_col, docs.columns, prefix).where(model.column(prefix) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(identifier: Column) -> Column:

@@ -84,43 +84,49 @@ def _leaves(quotas: list[int], shards: int, seed: int):
 
 def plan(sized: DataFrame, weights: tuple[int, ...], most_repeats: int, most_sources: int) -> list[dict]:
     """One row for each source in order: name, size, target and quota in words."""
-    found = sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
     if len(found) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
-    found = sorted(found, key=lambda r: (r["__source"] is None, r["__source"] or ""))
+    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     share = targets([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))], most_repeats)
-    return [{"place": k, "source": r["__source"], "size": r["size"], "n": r["n"], "target": float(t), "quota": round(t)} for k, (r, t) in enumerate(zip(found, share, strict=True))]
+    return [{"place": k, "source": r["source"], "size": r["size"], "n": r["n"], "target": float(t), "quota": round(t)} for k, (r, t) in enumerate(zip(found, share, strict=True))]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, size: Column, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, block_words: int = 1 << 14, shard_words: int = 1 << 22, range_rows: int = 1 << 12, seed: int = 7, most_sources: int = 100_000) -> DataFrame:
-    """The documents, a row for each piece that the mix takes and one with __words 0 for those that it leaves.
+    """A row for each piece that the mix takes, and one with words 0 for each document that it leaves.
 
-    Added: __row, __size, __source_size, __target, __words (from the document's start), __pass, __block, __shard.
+    Columns: doc (the document's own columns), row, size, source_size, target, words (from the document's start), pass,
+    block, shard.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("__source", F.col(source_col).cast("string")).withColumn("__size", size).withColumn("__row", F.monotonically_increasing_id())
-    rows = plan(sized.select("__source", "__size"), weights, most_repeats, most_sources)
-    recipe = F.broadcast(spark.createDataFrame([(r["place"], r["source"], r["size"], r["target"], r["quota"], max(1, -(-r["n"] // range_rows))) for r in rows], "__place long, __name string, __source_size long, __target double, __quota long, __ranges long"))
-    keyed = sized.join(recipe, F.col("__source").eqNullSafe(F.col("__name"))).drop("__name", "__source")
+    # the document rides as one struct, so no column of it can clash with those added here
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows = plan(sized.select("source", "size"), weights, most_repeats, most_sources)
+    recipe = [(r["place"], r["source"], r["size"], r["target"], r["quota"], max(1, -(-r["n"] // range_rows))) for r in rows]
+    recipe = F.broadcast(spark.createDataFrame(recipe, "place long, name string, source_size long, target double, quota long, ranges long"))
+    keyed = sized.join(recipe, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     # places in the permuted stream: hash ranges of a source, then rows within a range
-    keyed = keyed.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn("__range", F.pmod("__hash", F.col("__ranges")))
-    sums = keyed.groupBy("__place", "__range").agg(F.sum("__size").alias("s"))
-    before = Window.partitionBy("__place").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__place", "__range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__place", "__range").orderBy("__hash", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(sums, ["__place", "__range"])
-    at = F.col("__base") + F.col("__within")
-    start = lambda p: p * F.col("__source_size") + at
-    passes = F.when((F.col("__size") > 0) & (F.col("__quota") > at), F.sequence(F.lit(0).cast("long"), F.floor((F.col("__quota") - at - 1) / F.col("__source_size")).cast("long")))
-    keyed = keyed.withColumn("__pass", F.explode_outer(passes)).withColumn("__words", F.when(F.col("__pass").isNull(), 0).otherwise(F.least(F.col("__size"), F.col("__quota") - start(F.col("__pass")))))
-    keyed = keyed.withColumn("__block", F.floor(start(F.col("__pass")) / block_words).cast("long"))
+    keyed = keyed.withColumn("hash", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("range", F.pmod("hash", F.col("ranges")))
+    sums = keyed.groupBy("place", "range").agg(F.sum("size").alias("s"))
+    before = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("place", "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("place", "range").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["place", "range"])
+    at = F.col("base") + F.col("within")
+    start = lambda p: p * F.col("source_size") + at
+    last = F.floor((F.col("quota") - at - 1) / F.col("source_size")).cast("long")
+    passes = F.when((F.col("size") > 0) & (F.col("quota") > at), F.sequence(F.lit(0).cast("long"), last))
+    keyed = keyed.withColumn("pass", F.explode_outer(passes))
+    keyed = keyed.withColumn("words", F.when(F.col("pass").isNull(), 0).otherwise(F.least(F.col("size"), F.col("quota") - start(F.col("pass")))))
+    keyed = keyed.withColumn("block", F.floor(start(F.col("pass")) / block_words).cast("long"))
     # block quotas of the shards, and from them the shard of every block
     quotas = [-(-r["quota"] // block_words) for r in rows] or [0]
     shards = max(1, -(-sum(r["quota"] for r in rows) // shard_words))
-    leaves = spark.range(shards).mapInArrow(_leaves(quotas, shards, seed), "__shard long, __place long, count long")
-    end = F.sum("count").over(Window.partitionBy("__place").orderBy("__shard"))
-    blocks = leaves.withColumn("end", end).repartition("__shard").select("__place", "__shard", F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("__block"))
-    return keyed.join(blocks, ["__place", "__block"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__row", "__size", "__source_size", "__target", "__words", "__pass", "__block", "__shard")
+    leaves = spark.range(shards).mapInArrow(_leaves(quotas, shards, seed), "shard long, place long, count long")
+    end = F.sum("count").over(Window.partitionBy("place").orderBy("shard"))
+    own_blocks = F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("block")
+    blocks = leaves.withColumn("end", end).repartition("shard").select("place", "shard", own_blocks)
+    return keyed.join(blocks, ["place", "block"], "left").select("doc", "row", "size", "source_size", "target", "words", "pass", "block", "shard")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 7, **how) -> DataFrame:
@@ -128,16 +134,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A document that is cut keeps its first words as they stand; a column n_chars follows the text.
     """
-    text = F.col(f"`{text_col}`")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")), 1, F.col("__words").cast("int")), "")
-    taken = pieces(docs, id_col, source_col, size=words(text), seed=seed, **how).where("__words > 0")
-    taken = taken.withColumn(text_col, F.when(F.col("__words") < F.col("__size"), part).otherwise(text))
-    if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return taken.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 1), "__shard", F.col(f"`{id_col}`"), "__pass")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = pieces(docs, id_col, source_col, size=words(F.col(f"`{text_col}`")), seed=seed, **how).where("words > 0")
+    taken = taken.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), "shard", F.col(f"doc.`{id_col}`"), "pass"))
+    text, whole = F.col(f"doc.`{text_col}`"), F.col("words") >= F.col("size")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")), 1, F.col("words").cast("int")), "")
+    cut_text = F.when(whole, text).otherwise(part)
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return cut_text.alias(c)
+        if c == "n_chars":
+            return F.when(whole, F.col("doc.n_chars")).otherwise(F.length(part).cast(dict(docs.dtypes)["n_chars"])).alias(c)
+        return F.col(f"doc.`{c}`")
+
+    return taken.select(*map(column, docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")))
-    taken = pieces(slim, size=F.col("size")).groupBy("__row", "doc_id", "size", "__source_size", "__target").agg(F.sum("__words").alias("taken"))
-    return taken.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken")
+    taken = pieces(slim, size=F.col("size")).groupBy("row", F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")

@@ -59,15 +59,15 @@ def test_targets_are_met_and_runs_agree(spark, tmp_path):
 def test_blocks_are_dealt_once_by_the_tree(spark):
     docs = mixed_docs(spark)
     how = dict(block_words=64, shard_words=512, range_rows=32)
-    got = mixing.pieces(docs, size=mixing.words(F.col("text")), **how).where("__words > 0").collect()
-    assert all(r["__shard"] is not None for r in got)
+    got = mixing.pieces(docs, size=mixing.words(F.col("text")), **how).where("words > 0").select("doc.*", "shard", "block", "words").collect()
+    assert all(r["shard"] is not None for r in got)
     home = {}
     for r in got:
-        home.setdefault((r["source"], r["__block"]), set()).add(r["__shard"])
+        home.setdefault((r["source"], r["block"]), set()).add(r["shard"])
     assert all(len(s) == 1 for s in home.values()) and len({x for s in home.values() for x in s}) > 5
     out = mixing.mix(docs, **how)
     assert out.columns == docs.columns
-    assert sum(size(r["text"]) for r in out.collect()) == sum(r["__words"] for r in got)
+    assert sum(size(r["text"]) for r in out.collect()) == sum(r["words"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, most_sources=2)
