@@ -82,9 +82,10 @@ def templates(wide: DataFrame, docs: DataFrame, text_col: str, depth: int, simil
     lines = words.join(support, ["leaf", "at", "word"]).groupBy("leaf", "line", "n", "n_lines", "d").agg(F.array_sort(F.collect_list(F.struct("at", "word", "c"))).alias("words"))
     # the support that enough words reach: all words up to the depth have the whole leaf's
     rank = F.ceil(F.round(similarity * F.col("n"), 6)).cast("int") - depth
-    lines = lines.withColumn("family", F.when(rank <= 0, F.col("n_lines")).otherwise(F.get(F.sort_array("words.c", False), rank - 1)))
-    kept = lambda w: F.when(w["c"] >= least_share * F.col("family"), w["word"]).otherwise(F.xxhash64(F.lit("<*>")))
-    return lines.select("leaf", "line", "n", "d", F.xxhash64(F.transform("words", kept)).alias("template"))
+    family = F.when(rank <= 0, F.col("n_lines")).otherwise(F.get(F.sort_array("words.c", False), rank - 1))
+    # the array of one binds the value, which would be made again for each word else
+    kept = lambda f: F.transform("words", lambda w: F.when(w["c"] >= least_share * f, w["word"]).otherwise(F.xxhash64(F.lit("<*>"))))
+    return lines.select("leaf", "line", "n", "d", F.xxhash64(F.get(F.transform(F.array(family), kept), F.lit(0))).alias("template"))
 
 
 def recurring(docs: DataFrame, text_col: str = "text", *, depth: int = 4, least_documents: int = 3, short_words: int = 5, long_words: int = 50, similarity: float = 0.7, least_share: float = 0.5) -> DataFrame:
