@@ -2,10 +2,12 @@
 
 Base spans (email, ip, card, phone) are found in whole texts, leftmost and non-overlapping for each kind, in linear
 time. They seed a graph: identifier-like mentions (words with enough digits or an @) are instances, and the words around
-a mention are lexical patterns (two before, two after, one on each side). Spark scores the graph in rounds: a pattern's
-confidence for a kind is the mean score of all identifier-like instances in it, given enough distinct ones of that kind;
-an instance's score is the chance that one of its confident patterns is right. Instances that end above ``accept`` and
-have the loose shape of the kind give further spans, wherever they occur. Base spans always stay.
+a mention are lexical patterns (two before, two after, one on each side; words of any length, however far away). Spark
+scores the graph in rounds: a pattern's confidence for a kind is the mean score of all identifier-like instances in it,
+given enough distinct ones of that kind; an instance's score is the chance that one of its confident patterns is right.
+Instances that end above ``accept`` and have the loose shape of the kind give further spans, wherever they occur. Base
+spans always stay. Mentions have no greatest length; a row of numeric words is cut into windows of ``MOST_DIGITS`` digits,
+and strings over 64 characters stand in the graph as digests.
 
 A pattern's or an instance's rows are pre-aggregated, joins are equi-joins that adaptive execution splits, and only a
 document's own spans are gathered.
@@ -16,13 +18,15 @@ instance of evidence; an empty table gives an empty table; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table
+from millrace.llm.common import bounded_batches, cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,13 +38,17 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Identifier-like: a word with a digit or @, and purely numeric words right after it.
-MENTION = re.compile(r"[^\x20\x09-\x0D]*?[0-9@][^\x20\x09-\x0D]*(?:\x20[0-9()+.-]+)*")
+# Identifier-like: a word with a digit or @, and purely numeric words right after it. Starts at words only, so a long
+# word is read once.
+MENTION = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[0-9()+.-]++(?![^\x20\x09-\x0D]))*+")
+WORD = re.compile(r"\S++")
 EDGES = ".,;:!?()[]{}<>\"'|*#&%$="
+#: Digits of the longest identifier (a card's); a longer row of numeric words is cut at blanks into windows of that many.
+MOST_DIGITS = 19
 #: Loose shapes that an accepted instance must have, by kind.
-SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^[0-9]+([.:][0-9]+){3,}$", "card": r"^([0-9][ -]?){12,19}$", "phone": r"^[+(]?[0-9]([ ().-]*[0-9]){6,14}$"}
+SHAPES = {k: re.compile(v) for k, v in {"email": r"[^@\s]+@[^@\s]+", "ip": r"[0-9]+([.:][0-9]+){3,}", "card": r"([0-9][ -]?){12,19}", "phone": r"[+(]?[0-9]([ ().-]*[0-9]){6,14}"}.items()}
 
-SCHEMA = "id long, base array<struct<kind:int,start:int,end:int>>, mentions array<struct<instance:string,kind:int,start:int,end:int,patterns:array<string>>>"
+SCHEMA = "id long, base array<struct<kind:int,start:int,end:int>>, mentions array<struct<instance:string,kind:int,start:int,end:int,shapes:int,patterns:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -67,38 +75,86 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _words(text: str) -> list[str]:
-    return [w for x in text.lower().split() if (w := DIGIT.sub("0", x.strip(EDGES)))]
+def _short(x: str) -> str:
+    """The string itself, or a digest of a long one, so that the graph's rows stay small."""
+    return x if len(x) <= 64 else "#" + hashlib.sha256(x.encode()).hexdigest()
 
 
-def mentions(text: str, base: list[tuple[int, int, int]], reach: int = 160) -> list[tuple[str, int, int, int, list[str]]]:
-    """(instance, kind or -1, start, end, patterns): the base spans and the other identifier-like mentions."""
-    found = [(k, a, b) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+def _word(x: str) -> str:
+    return _short(DIGIT.sub("0", x.lower().strip(EDGES)))
+
+
+def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The mention text[start:end], or its stretches of words with up to MOST_DIGITS digits each (one word may have more)."""
+    parts: list[list[int]] = []
+    digits = 0
+    for m in re.finditer(r"[^\x20]++", text[start:end]):
+        n = len(DIGIT.findall(m[0]))
+        if parts and digits + n <= MOST_DIGITS:
+            parts[-1][1], digits = start + m.end(), digits + n
+        else:
+            parts.append([start + m.start(), start + m.end()])
+            digits = n
+    return [(a, b) for a, b in parts]
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int, list[str]]]:
+    """(instance, kind or -1, start, end, shapes, patterns): the base spans and the other identifier-like mentions.
+
+    shapes has bit k where the mention has the loose shape of kind k.
+    """
+    found = list(base)
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     at = 0
     if "@" in text or DIGIT.search(text):
         for m in MENTION.finditer(text):
-            core = m[0].strip(EDGES)
-            start = m.start() + m[0].find(core)
-            end = start + len(core)
-            if len(core) > 64 or "@" not in core and sum("0" <= c <= "9" for c in core) < 6:
-                continue
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            if any(a < end and start < b for a, b in taken[at : at + 8]):
+            if "@" not in m[0] and len(DIGIT.findall(m[0])) < 6:
                 continue
-            found.append((-1, start, end))
+            for a, b in windows(text, *m.span()):
+                core = text[a:b].strip(EDGES)
+                start = a + text[a:b].find(core)
+                end = start + len(core)
+                if "@" not in core and len(DIGIT.findall(core)) < 6:
+                    continue
+                while at < len(taken) and taken[at][1] <= start:
+                    at += 1
+                if at < len(taken) and taken[at][0] < end:
+                    continue
+                found.append((-1, start, end))
+    if not found:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    def near(places, low: int, high: int) -> list[str]:
+        """The first two words of the places that aren't mere signs, within low and high."""
+        out: list[str] = []
+        for k in places:
+            if w := _word(text[max(low, starts[k]) : min(high, ends[k])]):
+                out.append(w)
+                if len(out) == 2:
+                    break
+        return out
+
     out = []
     for kind, a, b in found:
-        left, right = _words(text[max(0, a - reach) : a])[-2:], _words(text[b : b + reach])[:2]
+        left = near(range(bisect_left(starts, a) - 1, -1, -1), 0, a)
+        right = near(range(bisect_right(ends, b), len(words)), b, len(text))
         patterns = []
         if len(left) == 2:
-            patterns.append(f"{left[0]} {left[1]} _")
+            patterns.append(f"{left[1]} {left[0]} _")
         if len(right) == 2:
             patterns.append(f"_ {right[0]} {right[1]}")
         if left and right:
-            patterns.append(f"{left[-1]} _ {right[0]}")
-        out.append((text[a:b].lower(), kind, a, b, patterns))
+            patterns.append(f"{left[0]} _ {right[0]}")
+        instance = text[a:b].lower()
+        shapes = sum(1 << k for k, name in enumerate(KINDS) if SHAPES[name].fullmatch(instance))
+        out.append((_short(instance), kind, a, b, shapes, patterns))
     return out
 
 
@@ -106,8 +162,8 @@ def _extract(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("instance", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))]))
-    names = ("instance", "kind", "start", "end", "patterns")
+    names = ("instance", "kind", "start", "end", "shapes", "patterns")
+    mention = pa.list_(pa.struct(list(zip(names, (pa.string(), *[pa.int32()] * 4, pa.list_(pa.string())), strict=True))))
     for b in batches:
         bases, all_mentions = [], []
         for t in b.column(1):
@@ -120,6 +176,7 @@ def _extract(batches: Iterator) -> Iterator:
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, row, base spans and mentions; kept in the shared folder, without the text."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return cut(slim.mapInArrow(_extract, SCHEMA).withColumn("row", F.monotonically_increasing_id()))
 
@@ -145,13 +202,10 @@ def bootstrap(rows: DataFrame, rounds: int = 3, least_support: int = 3, least_co
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """A row for each document: id, base and spans, both array<(kind, start, end)> by kind and start."""
     rows = extract(docs, id_col, text_col)
-    shape = None
-    for k, kind in enumerate(KINDS):
-        part = (F.col("kind") == k) & F.col("instance").rlike(SHAPES[kind])
-        shape = part if shape is None else shape | part
-    accepted = bootstrap(rows, **how).where(shape).select("instance", F.col("kind").alias("as"))
-    more = rows.where(F.size("mentions") > 0).select("row", F.explode(F.filter("mentions", lambda m: m["kind"] < 0)).alias("m")).select("row", "m.instance", "m.start", "m.end")
-    more = more.join(accepted, "instance").groupBy("row").agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "end")).alias("more"))
+    accepted = bootstrap(rows, **how).select("instance", F.col("kind").alias("as"))
+    more = rows.where(F.size("mentions") > 0).select("row", F.explode(F.filter("mentions", lambda m: (m["kind"] < 0) & (m["shapes"] > 0))).alias("m"))
+    more = more.select("row", "m.instance", "m.start", "m.end", "m.shapes").join(accepted, "instance").where(F.expr("(shapes >> as) & 1 = 1"))
+    more = more.groupBy("row").agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "end")).alias("more"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     joined = rows.drop("mentions").join(more, "row", "left")
     return joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
