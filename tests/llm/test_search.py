@@ -47,3 +47,45 @@ def test_codes_estimate_without_bias():
     spread = norms * np.linalg.norm(q) * np.sqrt(1 / correction**2 - 1) / np.sqrt(47)
     z = (estimate - v @ q) / spread
     assert abs(z.mean()) < 0.1 and 0.8 < z.std() < 1.2
+
+
+def brute(vectors, k):
+    import numpy as np
+
+    out = {}
+    for dim in {len(v) for v in vectors.values()}:
+        ids = np.array([i for i, v in vectors.items() if len(v) == dim])
+        x = np.array([vectors[i] for i in ids], dtype="float32").astype("float64")
+        for at in np.nonzero(ids % 20 == 0)[0]:
+            s = x @ x[at]
+            s[at] = -np.inf
+            out[int(ids[at])] = set(ids[np.lexsort((ids, -s))[: min(k, len(ids) - 1)]].tolist())
+    return out
+
+
+def test_recall_over_blocks_cells_and_dimensions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 32)) * 2
+    rows = {i: (centres[i % 12] + rng.normal(size=32)).tolist() for i in range(3000)}
+    rows |= {i: rng.normal(size=70).tolist() for i in range(5000, 5900)}
+    rows |= {i: rng.normal(size=3).tolist() for i in range(6000, 6050)}
+    df = spark.createDataFrame([(i, v) for i, v in rows.items()], "vec_id long, embedding array<float>").repartition(5)
+    for how in (dict(vector_block=64, query_block=8), dict(sample_rows=1000)):
+        got = {}
+        for r in nearest.search(df, F.col("vec_id") % 20 == 0, **how).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        want = brute(rows, 20)
+        assert got.keys() == want.keys()
+        recall = sum(len(got[q] & want[q]) for q in want) / sum(map(len, want.values()))
+        assert recall >= 0.9, (how, recall)
+
+
+def test_clusters_spare_cells():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    clustered = rng.normal(size=(16, 24))[rng.integers(0, 16, 4096)] * 3 + rng.normal(size=(4096, 24)) * 0.3
+    centres = nearest.directions(clustered, 16, 0)
+    assert nearest.visits(clustered, centres, 20, 0.97) <= 4
