@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import bounded_batches, table
 from millrace.llm.tokens import VOCABULARY, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -150,7 +150,7 @@ def _pack(size: int, end: int, vocabulary: str, buffer_tokens: int):
             at = 0
             while at < len(docs):
                 n, chars = 0, 0
-                while at + n < len(docs) and (not n or chars < 8_000_000):  # a step holds a few MB of text
+                while at + n < len(docs) and (not n or chars < 4_000_000):  # a step holds a few MB of text
                     chars += len(texts[at + n].as_buffer() or b"") if texts[at + n].is_valid else 0
                     n += 1
                 ids, offsets = encode(texts.slice(at, n))
@@ -175,8 +175,9 @@ def _pack(size: int, end: int, vocabulary: str, buffer_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048, end: int = 1, vocabulary: str = VOCABULARY, buffer_tokens: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048, end: int = 1, vocabulary: str = VOCABULARY, buffer_tokens: int = 2_000_000) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are packed little-endian unsigned 32-bit."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack(size, end, vocabulary, buffer_tokens), SCHEMA)
 
 

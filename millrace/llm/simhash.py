@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut, table
+from millrace.llm.common import bounded_batches, components, cut, keep_rows, table
 
 
 def spans(text: bytes, shingle: int, np) -> list[bytes]:
@@ -67,6 +67,7 @@ def text_digest(text: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
     """Rows (id, fp), with the text's digest if asked: the majority bits of XXH64 over lower-cased word shingles, as a signed 64-bit number."""
+    bounded_batches(docs.sparkSession)
     more = [text_digest(F.col(text_col)).alias("digest")] if digest else []
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
     return slim.mapInArrow(_fingerprints(shingle, seed), "id long, fp long" + ", digest binary" * digest)
@@ -190,13 +191,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The documents that stay (one of each component, that with the smallest identifier), with all their columns."""
-    own = ["__digest", "__none", "__id"]
-    keys = lambda digest, i: (digest.alias(own[0]), F.col(i).isNull().alias(own[1]), F.coalesce(F.col(i).cast("string"), F.lit("")).alias(own[2]))
-    firsts = classes(docs, id_col, text_col, shingle=shingle, seed=seed, radius=radius, digest=True).where("first").select(*keys(F.col("digest"), "id"))
-    # rows may repeat an identifier with other texts, which can lead components of their own; rows that repeat both are one
-    w = Window.partitionBy(*own).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)))
-    out = docs.select("*", *keys(text_digest(F.col(text_col)), id_col)).join(firsts, own, "left_semi")
-    return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = classes(docs, id_col, text_col, shingle=shingle, seed=seed, radius=radius, digest=True)
+    return keep_rows(docs, found.where("first").select("digest", "id"), text_digest(F.col(f"`{text_col}`")), id_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

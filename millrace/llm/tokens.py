@@ -15,7 +15,7 @@ from collections.abc import Iterable
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each table that a worker keeps; a full table is emptied. Longer keys are never kept.
-MOST_KEPT, LONGEST_KEPT = 200_000, 32
+MOST_KEPT, LONGEST_KEPT = 60_000, 32
 
 # The tokenizer's pieces within Latin-1, lower case: fixed values of the vocabulary's own pre-tokenizer.
 LETTERS = "a-zªµºß-öø-ÿ"
