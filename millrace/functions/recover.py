@@ -61,3 +61,22 @@ def _choose(x: Column, variant: str) -> Column:
         if variant == "notebook":  # an empty object counts as a failure
             value = F.when(is_object(value) & (F.to_json(value) != "{}"), value)
     return _result(F.coalesce(value, F.lit(None).cast("variant")), F.when(value.isNull(), error), whole.isNotNull())
+
+
+#: Fixed values of the three serving variants: what is said without braces, what without JSON, and how much raw text is shown of each.
+SAID = {"api": ("No JSON found", "Could not parse output", 200, 500), "infer": ("No JSON found in output", "Could not parse output", 500, 500), "cli": ("Could not parse model output",) * 2 + (500, 500)}
+
+
+def answer(raw: Column | str, variant: str) -> Column:
+    """What a serving variant answers: value (VARIANT), or error and the beginning of the raw text."""
+    raw = F.coalesce(X.col(raw), F.lit(""))
+    no_braces, no_json, few, many = SAID[variant]
+    text = raw if variant == "cli" else X.strip_fences_anywhere(raw, trailing=variant == "api")
+
+    def of(t: Column) -> Column:
+        braces = F.contains(t, F.lit("{")) & F.contains(t, F.lit("}"))
+        whole = F.try_parse_json(X.strip_fences_by_line(raw) if variant == "cli" else t)
+        value = whole if variant == "cli" else F.coalesce(whole, F.try_parse_json(X.brace_block(t)))
+        return F.struct(value.alias("value"), F.when(value.isNull(), F.when(braces, no_json).otherwise(no_braces)).alias("error"), F.when(value.isNull(), F.when(braces, F.substring(t, 1, many)).otherwise(F.substring(t, 1, few))).alias("raw"))
+
+    return X.bind(text, of)

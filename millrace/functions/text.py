@@ -100,3 +100,15 @@ def brace_block(c: Column | str) -> Column:
     first, last = F.locate("{", t), F.length(t) - F.locate("}", F.reverse(t)) + 1
     block = F.when(last >= first, F.substring(t, first, last - first + 1)).otherwise("")
     return F.when(F.contains(t, F.lit("{")) & F.contains(t, F.lit("}")), block)
+
+
+def python_float(c: Column | str) -> Column:
+    """A double as Python spells it: 0.0, -100.0, 1e+16, 1e-05."""
+    x = col(c)
+    t, m = x.cast("string"), F.abs(x)
+    plain = F.regexp_replace(F.regexp_replace(t.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.substring_index(t, "E", -1).cast("int")
+    digits = F.lpad(F.abs(power).cast("string"), 2, "0")
+    small = F.concat(F.regexp_replace(F.substring_index(t, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, digits).otherwise(F.abs(power).cast("string")))
+    word = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(word, F.when(~F.contains(t, F.lit("E")), t).when((m >= 1e-4) & (m < 1e16), plain).otherwise(small))

@@ -6,7 +6,7 @@ and booleans are numbers. Every check is a column; nothing leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -28,6 +28,19 @@ NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
 NUMBER_TEXT = r"^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
 
+def type_of(field: str) -> str:
+    """The JSON type of a field."""
+    if field == "line_items":
+        return "array"
+    return "number" if field in ("subtotal", "tax_amount", "tax_rate", "total_amount") else "string"
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    """The record's fields in order: place, field, type, required."""
+    rows = [(k, f, type_of(f), f not in OPTIONAL) for k, f in enumerate(FIELDS)]
+    return spark.createDataFrame(rows, "place int, field string, type string, required boolean")
+
+
 def get(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 from millrace.functions.recover import kind
 
+#: Fixed value of the training format.
 PREFIX = "Extract structured invoice data from the following document:"
 #: Default instruction; any text may be given instead.
 SYSTEM = (
@@ -22,26 +28,78 @@ def compact(record: Column) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
+@F.pandas_udf(T.StringType())
+def _compact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    for t in texts:
+        yield t.map(one, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _compact_payload(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(line: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(line or "")["ground_truth_json"], ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, KeyError, TypeError):
+            return None
+
+    for t in lines:
+        yield t.map(one)
+
+
+def compact_text(text: Column) -> Column:
+    """JSON text without blanks, keys in their order and numbers as they are; null if it isn't JSON.
+
+    Python on executors, as a VARIANT sorts its keys and drops the zeros of 150.0, and nothing built in re-spaces a text.
+    """
+    return _compact(text)
+
+
+def payload_text(line: Column) -> Column:
+    """``compact_text`` of the payload of an example's source line."""
+    return _compact_payload(line)
+
+
 def turns(system: Column, user: Column, answer: Column) -> Column:
     pair = lambda who, value: F.struct(F.lit(who).alias("from"), value.alias("value"))
     return F.array(pair("system", system), pair("human", user), pair("gpt", answer))
 
 
-def render(df: DataFrame, text: str = "document_text", payload: str = "ground_truth_json", system: str = SYSTEM) -> DataFrame:
+def render(df: DataFrame, text: str = "document_text", payload: str = "ground_truth_json", system: str = SYSTEM, source: str = "ground_truth_text") -> DataFrame:
     """Rows (id, conversations, difficulty, scenario_id); rows without text or payload are left out.
 
-    The payload is a struct or a VARIANT; an empty object counts as none.
+    The answer is the payload's JSON, compact, in the order of its keys: of a column ``source`` (text) if df has one, else of
+    the payload as JSON text or struct. A VARIANT alone has lost order and number format and gives them as it can. An
+    empty object counts as none.
     """
     doc = X.strip(F.coalesce(F.col(text), F.lit("")))
-    is_variant = dict(df.dtypes)[payload] == "variant"
-    answer = F.to_json(F.col(payload)) if is_variant else compact(F.col(payload))
-    some = F.col(payload).isNotNull() & ((kind(F.col(payload)) == "OBJECT") & (answer != "{}") if is_variant else F.lit(True))
+    kinds = dict(df.dtypes)
+    if source in kinds:
+        answer = compact_text(F.col(source))
+    elif kinds[payload] == "string":
+        answer = compact_text(F.col(payload))
+    elif kinds[payload] == "variant":
+        answer = F.when(kind(F.col(payload)) == "OBJECT", F.to_json(F.col(payload)))
+    else:
+        answer = compact(F.col(payload))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return df.where((doc != "") & some).select(empty("id"), turns(F.lit(system), F.concat(F.lit(PREFIX + "\n\n"), doc), answer).alias("conversations"), empty("difficulty"), empty("scenario_id"))
+    rows = df.select(empty("id"), doc.alias("doc"), answer.alias("answer"), empty("difficulty"), empty("scenario_id"))
+    rows = rows.where((F.col("doc") != "") & F.col("answer").isNotNull() & ~F.col("answer").isin("{}", "null", "[]", '""', "0", "false"))
+    return rows.select("id", turns(F.lit(system), F.concat(F.lit(PREFIX + "\n\n"), "doc"), F.col("answer")).alias("conversations"), "difficulty", "scenario_id")
 
 
-def stats(n_input: int, n_output: int) -> dict:
-    return {"input": n_input, "output": n_output, "skipped": n_input - n_output}
+def stats(examples: DataFrame, rendered: DataFrame) -> DataFrame:
+    """One row: input, output, skipped."""
+    both = examples.select(F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(rendered.select(F.lit(0), F.lit(1)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return both.agg(total("i").alias("input"), total("o").alias("output")).withColumn("skipped", F.col("input") - F.col("output"))
 
 
 def extraction_prompt(document: Column, instruction: str) -> Column:

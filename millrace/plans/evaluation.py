@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import cost, metrics, score, split
+from millrace.sources import jsonl
 
 
 def predict(eval_set: DataFrame, extract: Callable[[str], tuple[str, float]], text: str = "document_text") -> DataFrame:
@@ -27,11 +28,16 @@ def predict(eval_set: DataFrame, extract: Callable[[str], tuple[str, float]], te
     return eval_set.select("id", text).mapInPandas(run, "id string, raw_output string, latency double")
 
 
+def joined(predictions: DataFrame, truths: DataFrame) -> DataFrame:
+    """Every truth with its prediction; one without has an empty output."""
+    return truths.join(predictions, "id", "left").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
+
+
 def evaluate(predictions: DataFrame, truths: DataFrame, label: str, locked: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, one aggregate row with label and latencies). A locked path whose digest differs is an error."""
     if locked is not None and not split.verify(truths.sparkSession, locked):
         raise ValueError(f"{locked} is not as it was locked")
-    scores = score.rows(truths.join(predictions, "id", "left").withColumn("raw_output", F.coalesce("raw_output", F.lit(""))))
+    scores = score.rows(joined(predictions, truths))
     total = score.aggregate(scores.withColumn("label", F.lit(label)), ("label",))
     latency = metrics.percentiles(scores.select(F.lit(label).alias("label"), "latency"), "latency", "label").withColumnRenamed("n", "n_timed")
     return scores, total.join(latency, "label")
@@ -45,3 +51,17 @@ def compare(aggregates: DataFrame, models: tuple[str, ...] = ("base", "finetuned
     out = teacher.select("model", per_1000.alias("cost_per_1000"), cost.reported_accuracy(F.col("overall_field_accuracy")).alias("accuracy"))
     out = out.withColumn("cost_per_success", cost.per_success(F.col("cost_per_1000"), F.col("accuracy")))
     return quality, out.withColumn("payback_documents", cost.payback_documents(F.lit(build_cost).cast("double"), F.col("cost_per_1000"), F.lit(0.0)))
+
+
+def document(label: str, model_class: str, scores: DataFrame, total: DataFrame, path: str, folder: str) -> dict:
+    """The result document of an evaluation; rows of single examples are written below the folder, as many as there are.
+
+    The document has the head only and names that folder, so it stays small however many examples there are.
+    """
+    scores.write.mode("overwrite").json(f"{folder}/per_example")
+    row = total.first().asDict(recursive=True)
+    latency = {f"latency_{k}_seconds": round(row.pop(k) or 0.0, 3) for k in ("p50", "p95")}
+    head = {"model_label": label, "model_class": model_class, "n_examples": row["n_examples"], "aggregate": {k: v for k, v in row.items() if k not in ("label", "n_timed")}}
+    doc = head | latency | {"per_example": f"{folder}/per_example", "eval_path": path}
+    jsonl.write_document(scores.sparkSession, doc, f"{folder}/result")
+    return doc

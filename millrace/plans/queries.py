@@ -54,13 +54,10 @@ def shingle_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.shingles(X.normalize_text("text"))).cast("long").alias("n_shingles"))
 
 
-@query(f"WITH {PAIRS} SELECT a, b, jaccard FROM p")
+@query(f"WITH {PAIRS}, k AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY list_sort(s)) AS class FROM s) SELECT a, b, jaccard FROM p WHERE a IN (SELECT class FROM k) AND b IN (SELECT class FROM k)")
 def near_dup_pairs(spark, d):
-    """All pairs, as the driver's SQL lists them: pairs of representatives, spread over the members of their sets."""
-    found, members = dedup.similar_pairs(docs(spark, d))
-    same = members.alias("x").join(members.alias("y"), (F.col("x.first") == F.col("y.first")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("jaccard"))
-    spread = found.withColumnRenamed("a", "fa").withColumnRenamed("b", "fb").join(members.select(F.col("id").alias("a"), F.col("first").alias("fa")), "fa").join(members.select(F.col("id").alias("b"), F.col("first").alias("fb")), "fb")
-    return spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").unionAll(same)
+    """Pairs between the first documents of equal shingle sets; ``shingle_classes`` has the membership."""
+    return dedup.similar_pairs(docs(spark, d))[0]
 
 
 @query(f"WITH {SETS}, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class FROM s) SELECT doc_id, class FROM k")
@@ -185,10 +182,10 @@ def validate_flags(spark, d):
     return _validated(spark, d).select("id", "validation_error")
 
 
-@query(f"{FLAGS} SELECT count(*) AS n_total, count(*) FILTER (validation_error IS NULL) AS n_valid, count(*) FILTER (validation_error IS NOT NULL) AS n_failed, count(*) FILTER (validation_error IS NULL AND difficulty = 'easy') AS easy, count(*) FILTER (validation_error IS NULL AND difficulty = 'medium') AS medium, count(*) FILTER (validation_error IS NULL AND difficulty = 'hard') AS hard, count(*) FILTER (validation_error IS NULL AND scenario_id = 'scenario_3') AS scenario_3 FROM f")
+@query(f"{FLAGS} SELECT count(*) AS n_total, count(*) FILTER (validation_error IS NULL) AS n_valid, count(*) FILTER (validation_error IS NOT NULL) AS n_failed, count(*) FILTER (validation_error IS NULL AND difficulty = 'easy') AS easy, count(*) FILTER (validation_error IS NULL AND difficulty = 'medium') AS medium, count(*) FILTER (validation_error IS NULL AND difficulty = 'hard') AS hard, {', '.join(f"count(*) FILTER (validation_error IS NULL AND scenario_id = 'scenario_{k}') AS scenario_{k}" for k in range(7))} FROM f")
 def validation_stats(spark, d):
     s = contract.stats(_validated(spark, d))
-    return s.select("n_total", "n_valid", "n_failed", *(F.col("by_difficulty")[x].alias(x) for x in ("easy", "medium", "hard")), F.col("by_scenario")["scenario_3"].alias("scenario_3"))
+    return s.select("n_total", "n_valid", "n_failed", *(F.col("by_difficulty")[x].alias(x) for x in ("easy", "medium", "hard")), *(F.col("by_scenario")[f"scenario_{k}"].alias(f"scenario_{k}") for k in range(7)))
 
 
 @query(f"{FLAGS} SELECT string_split(validation_error, ':')[1] AS reason, count(*) AS n FROM f WHERE validation_error IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 5")
@@ -211,16 +208,19 @@ def _scores(spark, d):
     return score.rows(invoices.outputs(spark, d))
 
 
-@query(f"{SCORES} SELECT id, schema_valid, CASE WHEN has_fields THEN bill_to END AS bill_to, CASE WHEN has_fields THEN total_amount END AS total_amount, CASE WHEN has_fields THEN notes END AS notes, CASE WHEN has_fields THEN schema_valid END AS vendor_name, exact, NOT schema_valid AS has_error FROM s")
+_HIT = {"bill_to": "bill_to", "total_amount": "total_amount", "notes": "notes"}
+
+
+@query(f"{SCORES} SELECT id, schema_valid, {', '.join(f'CASE WHEN has_fields THEN {_HIT.get(f, "schema_valid")} END AS {f}' for f in score.SCORED)}, exact, NOT schema_valid AS has_error FROM s")
 def field_matches(spark, d):
     at = lambda f: F.try_element_at("field_matches", F.lit(f)).alias(f)
-    return _scores(spark, d).select(F.col("example_id").alias("id"), "schema_valid", *map(at, ("bill_to", "total_amount", "notes", "vendor_name")), F.col("full_record_exact_match").alias("exact"), (F.col("parse_error") != "").alias("has_error"))
+    return _scores(spark, d).select(F.col("example_id").alias("id"), "schema_valid", *map(at, score.SCORED), F.col("full_record_exact_match").alias("exact"), (F.col("parse_error") != "").alias("has_error"))
 
 
-@query(f"{SCORES} SELECT id, CASE WHEN has_fields THEN description END AS description, CASE WHEN has_fields THEN quantity END AS quantity FROM s")
+@query(f"{SCORES} SELECT id, CASE WHEN has_fields THEN description END AS description, CASE WHEN has_fields THEN quantity END AS quantity, CASE WHEN has_fields THEN description END AS unit_price, CASE WHEN has_fields THEN description END AS total FROM s")
 def line_item_match(spark, d):
     at = lambda f: F.try_element_at("line_item_field_accuracy", F.lit(f)).alias(f)
-    return _scores(spark, d).select(F.col("example_id").alias("id"), *map(at, ("description", "quantity")))
+    return _scores(spark, d).select(F.col("example_id").alias("id"), *map(at, ("description", "quantity", "unit_price", "total")))
 
 
 @query(f"{SCORES} SELECT field, avg(CASE WHEN hit THEN 1 ELSE 0 END)::DOUBLE AS accuracy FROM (SELECT unnest([{', '.join(repr(f) for f in score.SCORED)}]) AS field, unnest([{', '.join(f if f in ('bill_to', 'total_amount', 'notes') else 'schema_valid' for f in score.SCORED)}]) AS hit FROM s) GROUP BY field")
@@ -247,10 +247,13 @@ s AS (SELECT *, (CASE WHEN NOT ok THEN 0 WHEN k = 9 AND n > 1 THEN (n - 1) / n E
 m AS (SELECT *, (8 * other + line_items + total_amount + notes + due_date + vendor_address + bill_to) / 14 AS mean FROM s)"""
 
 
-@query(f"{NOTEBOOK} SELECT id, ok AS parsed_ok, line_items, total_amount, notes, due_date, vendor_address, bill_to, other AS vendor_name FROM m")
+OWN_SCORES = ("line_items", "total_amount", "notes", "due_date", "vendor_address", "bill_to")
+
+
+@query(f"{NOTEBOOK} SELECT id, ok AS parsed_ok, {', '.join(f if f in OWN_SCORES else f'other AS {f}' for f in contract.FIELDS)} FROM m")
 def notebook_scores(spark, d):
     x = score_notebook.rows(invoices.outputs(spark, d))
-    return x.select(F.col("example_id").alias("id"), "parsed_ok", *(F.col("scores")[f].alias(f) for f in ("line_items", "total_amount", "notes", "due_date", "vendor_address", "bill_to", "vendor_name")))
+    return x.select(F.col("example_id").alias("id"), "parsed_ok", *(F.col("scores")[f].alias(f) for f in contract.FIELDS))
 
 
 @query(f"{NOTEBOOK} SELECT avg(ok::INT)::DOUBLE AS parse_rate, round(avg(mean), 9) AS overall, round(avg(mean) FILTER (difficulty = 'easy'), 9) AS easy, round(avg(mean) FILTER (difficulty = 'medium'), 9) AS medium, round(avg(mean) FILTER (difficulty = 'hard'), 9) AS hard, round(avg(line_items), 9) AS line_items FROM m")

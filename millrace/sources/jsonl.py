@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions.recover import kind
+from millrace.operators.conversation import payload_text
+from millrace.sources.shared import cut
 
 
 def scan(spark: SparkSession, path: str, malformed: str = "count") -> DataFrame:
@@ -32,11 +34,14 @@ def judge(rows: DataFrame, malformed: str = "count") -> DataFrame:
 
 
 def examples(rows: DataFrame) -> DataFrame:
-    """The envelope of raw examples; ``with_ids`` fills missing identifiers."""
+    """The envelope of raw examples; ``with_ids`` fills missing identifiers.
+
+    ground_truth_text is the payload's own JSON, compact, which training targets are made of.
+    """
     v = F.col("value")
     text = lambda f: F.try_variant_get(v, f"$.{f}", "string").alias(f)
     number = lambda f: F.try_variant_get(v, f"$.{f}", "bigint").alias(f)
-    return rows.select(*map(text, ("id", "scenario_id", "difficulty", "document_text")), F.try_variant_get(v, "$.ground_truth_json", "variant").alias("ground_truth_json"), F.try_variant_get(v, "$.schema_valid_at_generation", "boolean").alias("schema_valid_at_generation"), *map(text, ("model", "generated_at")), *map(number, ("generation_ms", "input_tokens")))
+    return rows.select(*map(text, ("id", "scenario_id", "difficulty", "document_text")), F.try_variant_get(v, "$.ground_truth_json", "variant").alias("ground_truth_json"), payload_text(F.col("line")).alias("ground_truth_text"), F.try_variant_get(v, "$.schema_valid_at_generation", "boolean").alias("schema_valid_at_generation"), *map(text, ("model", "generated_at")), *map(number, ("generation_ms", "input_tokens")))
 
 
 def with_ids(df: DataFrame, order: str, id_col: str = "id", form: str = "%d") -> DataFrame:
@@ -45,6 +50,7 @@ def with_ids(df: DataFrame, order: str, id_col: str = "id", form: str = "%d") ->
     Places are prefix sums over ranges of the order: one count for each input partition, then local places.
     """
     ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ranged = cut(ranged)  # places are read twice, and ranges are sampled
     sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row for each partition
     before, total = {}, 0
     for p in sorted(sizes):

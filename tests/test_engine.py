@@ -144,7 +144,7 @@ def test_quality_rules_and_order(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality.text_reason(F.col("t")).alias("r"))
     assert {r["t"]: r["r"] for r in df.collect()} == texts
     full = lambda **m: json.dumps(BASE | m)
-    rows = [("a", full(total_amount=None), "s", "total_amount_missing"), ("b", full(total_amount="x"), "s", "total_amount_not_numeric"), ("c", full(total_amount=0), "s", "total_amount_zero_or_negative (0)"), ("d", full(line_items=[]), "s", "line_items_empty_or_missing"), ("e", json.dumps({"total_amount": 1, "line_items": [1], "notes": "x"}), "s", "too_few_non_null_fields (1 < 3, scenario=s)"), ("f", json.dumps({"total_amount": 1, "line_items": [1]}), "missing_fields_hard", None), ("g", full(), "s", None)]
+    rows = [("a", full(total_amount=None), "s", "total_amount_missing"), ("b", full(total_amount="x"), "s", "total_amount_not_numeric"), ("c", full(total_amount=0), "s", "total_amount_zero_or_negative (0.0)"), ("d", full(line_items=[]), "s", "line_items_empty_or_missing"), ("e", json.dumps({"total_amount": 1, "line_items": [1], "notes": "x"}), "s", "too_few_non_null_fields (1 < 3, scenario=s)"), ("f", json.dumps({"total_amount": 1, "line_items": [1]}), "missing_fields_hard", None), ("g", full(), "s", None)]
     df = spark.createDataFrame([(i, p, s, ok) for i, p, s, _ in rows], "id string, p string, scenario_id string, document_text string").withColumn("ground_truth_json", F.try_parse_json("p"))
     got = df.select("id", quality.reason().alias("quality_filter_reason"))
     assert {r["id"]: r["quality_filter_reason"] for r in got.collect()} == {i: e for i, _, _, e in rows}
