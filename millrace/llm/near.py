@@ -11,8 +11,8 @@ another way and the fingerprints are wider:
    the first round the members that share most shards, then by a hash) are checked on the whole sets. A round that leaves
    more than half of the pairs of different components is the last; rounds change the cost only, never the result.
 3. Search: in shards that still hold several components, a BK-tree over SimHash fingerprints of ``WIDE`` bits finds all
-   pairs of different components within a radius that a pair at the similarity exceeds with probability below 1e-6; every
-   pair found is checked on the whole sets, so no link is false. A shard's largest component asks nothing, and a hot shard
+   pairs of different components within a radius that a pair at the similarity exceeds with probability below 1e-6, each
+   pair in the first shard that it shares; every pair found is checked on the whole sets, so no link is false. A shard's largest component asks nothing, and a hot shard
    is dealt into part trees and blocks of questions.
 
 Defined cases: null and blank texts have one shingle, the empty one, and are linked to each other; a text of fewer words
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bounded_batches, components, cut, keep_rows
 from millrace.llm.simhash import BKTree, spans, text_digest
 
-#: Bits of the wide fingerprints. Pairs at 0.8 differ in 15 % of them (19 % where the sets are small), and a standard
-#: deviation is 12 bits; the radius lies more than five above.
-WIDE = 1024
+#: Bits of the wide fingerprints. Pairs at 0.8 differ in 15 % of them or less (19 % for sets of 5), and a standard
+#: deviation is 0.6 %; the radius lies five and a half above.
+WIDE = 4096
 
 
 def radius(n_shingles: int, similarity: float) -> float:
@@ -40,7 +40,7 @@ def radius(n_shingles: int, similarity: float) -> float:
     from math import acos, pi, sqrt
 
     share = acos(2 * similarity / (1 + similarity)) / pi
-    if n_shingles < 64:  # few votes a bit: ties make more of them differ
+    if n_shingles < 8:  # few votes a bit: ties make more of them differ
         share *= 1.25
     return WIDE * share + 5.5 * sqrt(WIDE * share * (1 - share))
 
@@ -120,9 +120,15 @@ def _search(similarity: float):
         table = table.sort_by("key")
         keys = table["key"].to_numpy()
         rows, n, root = (table[c].to_pylist() for c in ("row", "n", "root"))
-        asks = table["ask"].to_pylist()
+        asks, other = table["ask"].to_pylist(), table["other"].to_pylist()
         wide = [int.from_bytes(x, "big") for x in table["wide"].to_pylist()]
+        all_keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
         ends = [*(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+
+        def met_before(j: int, k: int) -> bool:
+            """Whether a shard of an earlier band has both rows too, and so their pair."""
+            return all_keys[j][(all_keys[j] == all_keys[k]).argmax()] != keys[k]
+
         pairs, start = set(), 0
         for end in ends:
             own: dict[int, list[int]] = {}
@@ -136,7 +142,9 @@ def _search(similarity: float):
                 if asks[k]:
                     for at in tree.within(wide[k], int(radius(n[k], similarity))):
                         for j in own[tree.values[at]]:
-                            if root[j] != root[k] and min(n[j], n[k]) >= similarity * max(n[j], n[k]):
+                            if other[j] and rows[j] > rows[k]:
+                                continue  # asks for itself, and finds this one
+                            if root[j] != root[k] and min(n[j], n[k]) >= similarity * max(n[j], n[k]) and not met_before(j, k):
                                 pairs.add((min(rows[j], rows[k]), max(rows[j], rows[k])))
             start = end
         a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
@@ -194,7 +202,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         before = pairs
     # trees hold all members of a shard; all but the members of its largest component ask
     trees, blocks = F.ceil(F.col("s") / shard).cast("int"), F.ceil((F.col("s") - F.col("top.c")) / shard).cast("int")
-    cells = held.join(sets.select("row", "wide"), "row").withColumn("trees", trees).withColumn("blocks", blocks)
+    cells = held.join(sets.select("row", "wide").join(nodes.select("row", "keys"), "row"), "row").withColumn("trees", trees).withColumn("blocks", blocks)
     own = lambda salt, of: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(of)).cast("int")
     upto = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
     member = F.transform(upto("blocks"), lambda b: F.struct(own(1, "trees").alias("tree"), b.alias("block"), F.lit(False).alias("ask")))
@@ -202,7 +210,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     roles = F.when(F.col("root") == F.col("top.root"), member).otherwise(F.concat(member, ask))
     n_cells = max(1, held.count() // (4 * shard))
     place = F.when(F.col("trees") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_cells)))
-    cells = cells.select(place.alias("place"), "key", "row", "n", "root", "wide", F.explode(roles).alias("r")).select("place", "key", "row", "n", "root", "wide", "r.*")
+    cells = cells.select(place.alias("place"), "key", "row", "n", "root", "wide", "keys", (F.col("root") != F.col("top.root")).alias("other"), F.explode(roles).alias("r"))
+    cells = cells.select("place", "key", "row", "n", "root", "wide", "keys", "other", "r.*")
     asked = cells.groupBy("place", "tree", "block").applyInArrow(_search(similarity), "a long, b long").distinct()
     roots = components(cut(links.unionAll(similar(asked)))).withColumnRenamed("node", "row")
     led = nodes.select("id", "digest", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
