@@ -14,8 +14,8 @@ import re
 from collections.abc import Iterable
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of each table that a worker keeps; a full table is emptied. Longer keys are never kept.
-MOST_KEPT, LONGEST_KEPT = 60_000, 32
+#: Entries of each half of a table that a worker keeps; a full half replaces the other. Longer keys are never kept.
+MOST_KEPT, LONGEST_KEPT = 120_000, 32
 
 # The tokenizer's pieces within Latin-1, lower case: fixed values of the vocabulary's own pre-tokenizer.
 LETTERS = "a-zªµºß-öø-ÿ"
@@ -26,16 +26,19 @@ CUTS = str.maketrans(dict.fromkeys("\n\t\r", " "))
 
 
 class _Kept(dict):
-    """A bounded table that makes what it lacks."""
+    """A bounded table that makes what it lacks; entries in use move from the old half to the new one, others go."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -56,14 +59,20 @@ class Encoder:
         self.bpe = self.tokenizer.model
         # byte-level spelling within Latin-1, asked of the tokenizer itself
         self.spelled = {i: found[0][0] for i in range(256) if (found := self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i)))}
-        self.pieces = _Kept(self._piece)
-        self.latin = _Kept(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk))))
+        self.latin = _Kept(self._latin)
         self.other = _Kept(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         found = self.bpe.tokenize(piece.translate(self.spelled))
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
+    def _latin(self, chunk: str) -> bytes:
+        """Chunks and their pieces share a table, as a piece is a chunk with one piece."""
+        found = PIECE.findall(chunk)
+        if found == [chunk]:
+            return self._piece(chunk)
+        return b"".join(map(self.latin.__getitem__, found))
+
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
 
