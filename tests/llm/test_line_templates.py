@@ -50,4 +50,4 @@ def test_many_dropped_lines_take_linear_time(spark):
         got = line_dedup.clean(docs(n)).collect()
         seconds.append(time.time() - began)
         assert [r["__n_dropped"] for r in got] == [n] * 3
-    assert seconds[1] < 8 * seconds[0]
+    assert seconds[1] < 24 * seconds[0]  # 8 times the lines: 8 if linear, 64 if quadratic
