@@ -2,11 +2,13 @@
 
 Fingerprints of word shingles that differ in at most ``radius`` bits are linked. Equal fingerprints are first folded into
 one. The 64 bits are cut into radius + 1 bands: two linked fingerprints agree in one band at least, so fingerprints are
-sharded by band and band value and every link lies within a shard. A shard's BK-tree (children keyed by their Hamming
-distance to the parent) is sent to every block of queries of that shard, and a query follows only the edges whose key
-lies within the radius of its own distance. Trees and blocks are bounded: a shard that a hot band value makes larger
-than ``shard`` is dealt into part trees, and each block of its queries meets each of them. A cell of that grid returns
-a spanning forest of its links, never all pairs; components of the links are found by iterative star contraction.
+sharded by band and band value and every link lies within a shard. Members of a shard differ only in the bits that are
+left, so a shard larger than ``shard`` is cut again by radius + 1 bands of those, and so on until it is small: a third of
+the bits goes each time (radius 2), so a fingerprint is copied a bounded number of times (at most 3 ** 6, as 9 bits
+tell 512 apart), however many share a band. Shards are dealt into cells; the members of a cell form a BK-tree (children
+keyed by their Hamming distance to the parent) in which a query follows only the edges whose key lies within the radius
+of its own distance. A cell returns a spanning forest of its links, never all pairs; components of the links are found
+by iterative star contraction.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; a null identifier is larger than any
 other and is the component's identifier only where its whole component has none; repeated rows are separate documents;
@@ -111,69 +113,71 @@ class BKTree:
         return found
 
 
-def _cell(radius: int):
-    def run(fps, asks):
-        """Spanning forest of the links between the tree's members and the queries of one cell (arrays of numbers)."""
-        import numpy as np
+def _forest(values: list[int], radius: int):
+    """Spanning forest of the links among 64-bit numbers, as rows (number, root) of signed numbers."""
+    import numpy as np
 
-        mask = (1 << 64) - 1
-        tree, parent = BKTree(), {}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def join(x: int, y: int) -> None:
-            for z in (x, y):
-                parent.setdefault(z, z)
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-
-        members = [x & mask for x in fps]
-        if asks is None:  # the members ask each other, each as it comes
-            for x in members:
-                for at in tree.within(x, radius):
-                    join(x, tree.values[at])
-                tree.add(x)
-        else:
-            for x in members:
-                tree.add(x)
-            for x in (y & mask for y in asks):
-                for at in tree.within(x, radius):
-                    join(x, tree.values[at])
-        links = [(x, root(x)) for x in parent if root(x) != x]
-        return np.array(links, dtype="uint64").reshape(-1, 2).view("int64")
+    tree, parent = BKTree(), {}
 
-    return run
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x in values:
+        parent[x] = x
+        for at in tree.within(x, radius):
+            a, b = root(x), root(tree.values[at])
+            parent[max(a, b)] = min(a, b)
+        tree.add(x)
+    links = [(x, root(x)) for x in parent if root(x) != x]
+    return np.array(links, dtype="uint64").reshape(-1, 2).view("int64")
+
+
+def cut_bits(mask: int, parts: int) -> list[int]:
+    """What is left of the mask's bits when one of its parts (runs of its bits, in order) is taken away, for each part."""
+    bits = [k for k in range(64) if mask >> k & 1]
+    ends = [len(bits) * p // parts for p in range(parts + 1)]
+    return [mask & ~sum(1 << k for k in bits[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(prints: DataFrame, radius: int = 2, shard: int = 512) -> DataFrame:
     """Rows (a, b) of distinct fingerprints whose components are those of all links within the radius."""
-    bands, edges = radius + 1, [64 * k // (radius + 1) for k in range(radius + 2)]
-    value = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    keyed = prints.select("fp", F.explode(value).alias("v")).select("fp", "v.band", "v.value")
-    n = prints.count()
-    shards = max(1, n * bands // (shard // 2))
-    hot = keyed.groupBy("band", "value").count().where(F.col("count") > shard).select("band", "value", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
-    cells = keyed.join(hot, ["band", "value"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-    place = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("band", "value"), F.lit(shards))).otherwise(-1 - F.xxhash64("band", "value").bitwiseAND((1 << 62) - 1))
-    # part tree t of a shard meets the query blocks t, t + 1, ...; a block that is its own tree needs one role only
-    last = F.coalesce("parts", F.lit(1)) - 1
-    roles = F.concat(F.transform(F.sequence("own", last), lambda q: F.struct(F.col("own").alias("tree"), q.alias("block"), F.lit(True).alias("member"))), F.when(F.col("own") > 0, F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda t: F.struct(t.alias("tree"), F.col("own").alias("block"), F.lit(False).alias("member")))).otherwise(F.array().cast("array<struct<tree:int,block:int,member:boolean>>")))
-    cells = cells.select("fp", place.alias("shard"), F.explode(roles).alias("r")).select("fp", "shard", "r.*")
-    search = _cell(radius)
+    spark, full = prints.sparkSession, (1 << 64) - 1
+    open_, masks, shards, rows = prints.select("fp", F.lit(-1).cast("long").alias("mask")), [full], None, 0
+    while masks:
+        first = masks == [full]
+        cuts = [(_signed(m), _signed(rest)) for m in masks for rest in cut_bits(m, radius + 1)]
+        cuts = F.broadcast(spark.createDataFrame(cuts, "mask long, rest long"))
+        value = F.col("fp").bitwiseAND(F.bitwise_not("rest")).alias("value")
+        keyed = open_.join(cuts, "mask").select("fp", F.col("rest").alias("mask"), value)
+        if not first:
+            keyed = keyed.distinct()  # two ways of cutting may leave the same bits
+        sizes = keyed.groupBy("mask", "value").count()
+        # the members of a shard differ in bits of its mask only: no more of them than radius, and all are linked anyway
+        hot = cut(sizes.where((F.col("count") > shard) & (F.bit_count("mask") > radius)))
+        n_hot, masks = hot.agg(F.sum("count"), F.collect_set("mask")).first()
+        masks = sorted(m % (1 << 64) for m in masks)
+        rows += (radius + 1) * open_.count() - (n_hot or 0)
+        done = (keyed.join(hot, ["mask", "value"], "left_anti") if masks else keyed).select("fp", "mask", "value")
+        shards = done if shards is None else shards.unionAll(done)
+        if masks:
+            open_ = cut(keyed.join(hot, ["mask", "value"], "left_semi").select("fp", "mask"))
+    cells = max(1, rows // (shard // 2))
 
     def run(pdf):
         import pandas as pd
 
-        same = pdf["tree"].iloc[0] == pdf["block"].iloc[0]
-        found = search(pdf.loc[pdf["member"], "fp"].tolist(), None if same else pdf.loc[~pdf["member"], "fp"].tolist())
+        found = _forest([x % (1 << 64) for x in pdf["fp"].unique().tolist()], radius)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return cells.groupBy("shard", "tree", "block").applyInPandas(run, "a long, b long")
+    cell = F.pmod(F.xxhash64("mask", "value"), F.lit(cells)).alias("cell")
+    return shards.select("fp", cell).groupBy("cell").applyInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, seed: int = 42, radius: int = 2, digest: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -95,7 +96,8 @@ def test_simhash_against_brute_force(spark, tmp_path):
     assert simhash.classes(odd_docs(spark, [])).count() == 0
 
 
-def test_hot_shards_lose_no_link(spark):
+@pytest.mark.parametrize("shard", [64, 6])
+def test_hot_shards_lose_no_link(spark, shard):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     values = {centre}
@@ -104,7 +106,7 @@ def test_hot_shards_lose_no_link(spark):
     values |= {rng.getrandbits(64) for _ in range(300)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     prints = spark.createDataFrame([(v,) for v in signed], "fp long")
-    got = components(simhash.links(prints, 2, shard=64)).collect()
+    got = components(simhash.links(prints, 2, shard=shard)).collect()
     want = brute_components(list(values))
     size = {}
     for v in want.values():
@@ -119,6 +121,14 @@ def test_hot_shards_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_masks_lose_a_band_each():
+    full = (1 << 64) - 1
+    for mask in (full, 0b1011, sum(1 << k for k in range(0, 64, 3))):
+        rests = simhash.cut_bits(mask, 3)
+        bands = [mask & ~r for r in rests]
+        assert all(bands) and bands[0] | bands[1] | bands[2] == mask and sum(bands) == mask
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (300, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
