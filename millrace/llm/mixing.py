@@ -9,8 +9,10 @@ alone and leaves are made in parallel. A shard takes the next blocks of each sou
 and already permuted, and shuffles their documents locally.
 
 Running word sums are taken in two levels (hash ranges of a source, then rows of one range), so a source with a third of
-all rows is spread like any other. The table of sources is read by the driver: one row for each source, the size of the
-mixing recipe; more than ``most_sources`` of them is an error.
+all rows is spread like any other. Up to ``most_lots`` sources are planned by the driver. More (a source for each host,
+say) are planned as a table, by the same rule: the tree then splits lots, one for each source that takes a share of
+1 / most_lots or more (at most most_lots of them, broadcast) and most_lots lots in which the small ones are pooled by a
+hash. Blocks of a pooled lot are permuted before shards take them, which is the same draw as one of the sources alone.
 
 Defined cases: a null or blank text has size 0 and gives no words; a null source is a source of its own, last; repeated
 rows are separate documents; the last document of a source's quota is cut at a word; an empty table gives an empty mix;
@@ -82,17 +84,64 @@ def _leaves(quotas: list[int], shards: int, seed: int):
     return run
 
 
-def plan(sized: DataFrame, weights: tuple[int, ...], most_repeats: int, most_sources: int) -> list[dict]:
+def plan(found: list, weights: tuple[int, ...], most_repeats: int) -> list[dict]:
     """One row for each source in order: name, size, target and quota in words."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     share = targets([r["size"] for r in found], [weights[k % len(weights)] for k in range(len(found))], most_repeats)
     return [{"place": k, "source": r["source"], "size": r["size"], "n": r["n"], "target": float(t), "quota": round(t)} for k, (r, t) in enumerate(zip(found, share, strict=True))]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, size: Column, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, block_words: int = 1 << 14, shard_words: int = 1 << 22, range_rows: int = 1 << 12, seed: int = 7, most_sources: int = 100_000) -> DataFrame:
+def wide_plan(sources: DataFrame, weights: tuple[int, ...], most_repeats: int) -> DataFrame:
+    """The rows of ``plan`` as a table, for any number of sources (source, size, n)."""
+    spark, order = sources.sparkSession, (F.col("source").isNull(), F.col("source"))
+    # places in code-point order: the number of rows in earlier ranges, and the place within the range
+    ordered = cut(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, bases = 0, []
+    for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("c")).orderBy("part").collect():  # a row a partition
+        bases.append((r["part"], before))
+        before += r["c"]
+    bases = F.broadcast(spark.createDataFrame(bases, "part long, base long"))
+    place = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    placed = cut(ordered.join(bases, part == F.col("part")).withColumn("place", place).withColumn("weight", weight).select("place", "source", "size", "n", "weight"))
+    # words for each unit of weight: rises while sources become full, and stands still when no more do
+    total, all_weights = placed.agg(F.sum("size"), F.sum("weight")).first()
+    rate = Fraction(total, all_weights)
+    most = F.col("size") * most_repeats
+    while True:
+        number = lambda x, digits: F.lit(x).cast(f"decimal({digits},0)")
+        full = F.col("weight").cast("decimal(9,0)") * number(str(rate.numerator), 28) > F.col("size").cast("decimal(19,0)") * number(str(most_repeats * rate.denominator), 18)
+        capped, open_ = placed.agg(F.sum(F.when(full, most).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        now = Fraction(total - capped, open_) if open_ else rate
+        if now == rate:
+            break
+        rate = now
+    kinds = sorted(set(weights))
+    of_weight = lambda f: F.coalesce(*(F.when(F.col("weight") == w, F.lit(f(rate * w))) for w in kinds))
+    return placed.select("place", "source", "size", "n", F.when(full, most.cast("double")).otherwise(of_weight(float)).alias("target"), F.when(full, most).otherwise(of_weight(round).cast("long")).alias("quota"))
+
+
+def _pooled(plan: DataFrame, block_words: int, most_lots: int, seed: int) -> tuple[DataFrame, list[int], DataFrame]:
+    """The plan with each source's lot (own for large ones), block quotas of the lots, and every block's slot in its lot."""
+    spark = plan.sparkSession
+    least = max(1, -(-plan.agg(F.sum("quota")).first()[0] // most_lots))
+    plan = plan.withColumn("blocks", F.expr(f"(quota + {block_words - 1}) div {block_words}"))
+    large = plan.where(F.col("quota") >= least).select("place", "blocks").orderBy("place").collect()  # at most most_lots
+    own = F.broadcast(spark.createDataFrame([(r["place"], k) for k, r in enumerate(large)], "place long, own long"))
+    pool = F.lit(len(large)) + F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(most_lots))
+    plan = cut(plan.join(own, "place", "left").withColumn("lot", F.coalesce("own", pool)).withColumn("own", F.col("own").isNotNull()))
+    lots = [r["blocks"] for r in large] + [0] * most_lots
+    for r in plan.where("not own").groupBy("lot").agg(F.sum("blocks").alias("blocks")).collect():
+        lots[r["lot"]] = r["blocks"]
+    blocks = plan.where("blocks > 0").select("own", "lot", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    turn = Window.partitionBy("lot").orderBy(F.xxhash64(F.lit(seed), "place", "block"), "place", "block")
+    slots = blocks.where("own").withColumn("slot", F.col("block"))
+    slots = slots.unionAll(blocks.where("not own").withColumn("slot", F.row_number().over(turn).cast("long") - 1))
+    return plan, lots, slots.select("lot", "slot", "place", "block")
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *, size: Column, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, block_words: int = 1 << 14, shard_words: int = 1 << 22, range_rows: int = 1 << 12, seed: int = 7, most_lots: int = 1 << 14) -> DataFrame:
     """A row for each piece that the mix takes, and one with words 0 for each document that it leaves.
 
     Columns: doc (the document's own columns), row, size, source_size, target, words (from the document's start), pass,
@@ -101,10 +150,24 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     spark = docs.sparkSession
     # the document rides as one struct, so no column of it can clash with those added here
     sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"))
-    rows = plan(sized.select("source", "size"), weights, most_repeats, most_sources)
-    recipe = [(r["place"], r["source"], r["size"], r["target"], r["quota"], max(1, -(-r["n"] // range_rows))) for r in rows]
-    recipe = F.broadcast(spark.createDataFrame(recipe, "place long, name string, source_size long, target double, quota long, ranges long"))
-    keyed = sized.join(recipe, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    found = sources.limit(most_lots + 1).collect()
+    if len(found) <= most_lots:
+        rows, slots = plan(found, weights, most_repeats), None
+        lots, words_in_all = [-(-r["quota"] // block_words) for r in rows], sum(r["quota"] for r in rows)
+        recipe = [(r["place"], r["source"], r["size"], r["target"], r["quota"], max(1, -(-r["n"] // range_rows))) for r in rows]
+        recipe = F.broadcast(spark.createDataFrame(recipe, "place long, name string, source_size long, target double, quota long, ranges long"))
+        keyed = sized.join(recipe, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    else:
+        planned, lots, slots = _pooled(wide_plan(sources, weights, most_repeats), block_words, most_lots, seed)
+        words_in_all = planned.agg(F.sum("quota")).first()[0]
+        ranges = F.expr(f"greatest(1, (n + {range_rows - 1}) div {range_rows})").cast("long")
+        recipe = planned.select("own", "place", F.col("source").alias("name"), F.col("size").alias("source_size"), "target", "quota", ranges.alias("ranges"))
+        # large sources never go through an exchange by source
+        large, same = F.broadcast(recipe.where("own")), F.col("source").eqNullSafe(F.col("name"))
+        of_large = sized.join(large, same)
+        of_small = sized.join(large.select("name"), same, "left_anti").join(recipe.where("not own"), same)
+        keyed = of_large.unionAll(of_small.select(of_large.columns)).drop("name", "source", "own")
     # places in the permuted stream: hash ranges of a source, then rows within a range
     keyed = keyed.withColumn("hash", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("range", F.pmod("hash", F.col("ranges")))
     sums = keyed.groupBy("place", "range").agg(F.sum("size").alias("s"))
@@ -120,12 +183,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     keyed = keyed.withColumn("words", F.when(F.col("pass").isNull(), 0).otherwise(F.least(F.col("size"), F.col("quota") - start(F.col("pass")))))
     keyed = keyed.withColumn("block", F.floor(start(F.col("pass")) / block_words).cast("long"))
     # block quotas of the shards, and from them the shard of every block
-    quotas = [-(-r["quota"] // block_words) for r in rows] or [0]
-    shards = max(1, -(-sum(r["quota"] for r in rows) // shard_words))
+    quotas = lots or [0]
+    shards = max(1, -(-words_in_all // shard_words))
     leaves = spark.range(shards).mapInArrow(_leaves(quotas, shards, seed), "shard long, place long, count long")
     end = F.sum("count").over(Window.partitionBy("place").orderBy("shard"))
     own_blocks = F.explode(F.sequence(F.col("end") - F.col("count"), F.col("end") - 1)).alias("block")
     blocks = leaves.withColumn("end", end).repartition("shard").select("place", "shard", own_blocks)
+    if slots is not None:
+        blocks = blocks.select(F.col("place").alias("lot"), F.col("block").alias("slot"), "shard").join(slots, ["lot", "slot"]).select("place", "shard", "block")
     return keyed.join(blocks, ["place", "block"], "left").select("doc", "row", "size", "source_size", "target", "words", "pass", "block", "shard")
 
 

@@ -69,8 +69,27 @@ def test_blocks_are_dealt_once_by_the_tree(spark):
     assert out.columns == docs.columns
     assert sum(size(r["text"]) for r in out.collect()) == sum(r["words"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs, most_sources=2)
+
+
+@pytest.mark.parametrize("lots", [2, 5])
+def test_more_sources_than_lots_meet_the_same_targets(spark, lots):
+    docs = mixed_docs(spark)
+    how = dict(block_words=64, shard_words=512, range_rows=32)
+    columns = ("doc.doc_id", "doc.source", "size", "source_size", "target", "words", "pass", "block", "shard")
+
+    def rows(**more):
+        found = mixing.pieces(docs, size=mixing.words(F.col("text")), **how, **more).select(*columns).collect()
+        return sorted(found, key=str)
+
+    few, many = rows(), rows(most_lots=lots)
+    assert many == rows(most_lots=lots)
+    # targets, passes and blocks don't depend on the way of planning; only the shards of pooled blocks do
+    assert sorted(map(str, (r[:-1] for r in few))) == sorted(map(str, (r[:-1] for r in many)))
+    homes = {}
+    for r in many:
+        if r["words"]:
+            homes.setdefault((r["source"], r["block"]), set()).add(r["shard"])
+    assert all(len(s) == 1 and None not in s for s in homes.values()) and len({x for s in homes.values() for x in s}) > 5
 
 
 def test_tree_leaves_add_up():
