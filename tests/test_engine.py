@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import rounding
 from millrace.functions import text as X
 from millrace.functions.recover import is_object, recover
-from millrace.operators import contract, conversation, cost, dedup, quality, score, split
+from millrace.operators import contract, conversation, cost, dedup, metrics, quality, score, split
 from millrace.plans import curation
 from millrace.plans import queries as plans
 from millrace.sources import jsonl
@@ -229,3 +229,15 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall()), key=str)
     assert sorted(map(tuple, df.collect()), key=str) == want
+
+
+def test_percentiles_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [("hot", float(rng.randrange(5000))) for _ in range(6000)] + [("few", 2.0), ("few", 1.0), ("none", None), (None, 7.0), (None, None)]
+    rows += [("tied", 3.0)] * 50 + [("edge", float(k)) for k in range(21)]
+    got = {r["g"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "g string, x double").repartition(7), "x", "g").collect()}
+    for name in {g for g, _ in rows}:
+        values = sorted(x for g, x in rows if g == name and x is not None)
+        n = len(values)
+        want = (values[min(n // 2, n - 1)], values[min(19 * n // 20, n - 1)]) if n else (0.0, 0.0)
+        assert (got[name]["n"], got[name]["p50"], got[name]["p95"]) == (n, *want)
