@@ -153,9 +153,12 @@ def links(prints: DataFrame, radius: int = 2, shard: int = 512) -> DataFrame:
     while masks:
         first = masks == [full]
         cuts = [(_signed(m), _signed(rest)) for m in masks for rest in cut_bits(m, radius + 1)]
-        cuts = F.broadcast(spark.createDataFrame(cuts, "mask long, rest long"))
         value = F.col("fp").bitwiseAND(F.bitwise_not("rest")).alias("value")
-        keyed = open_.join(cuts, "mask").select("fp", F.col("rest").alias("mask"), value)
+        if first:
+            dealt = open_.select("fp", F.explode(F.array(*(F.lit(rest) for _, rest in cuts))).alias("rest"))
+        else:
+            dealt = open_.join(F.broadcast(spark.createDataFrame(cuts, "mask long, rest long")), "mask")
+        keyed = dealt.select("fp", F.col("rest").alias("mask"), value)
         if not first:
             keyed = keyed.distinct()  # two ways of cutting may leave the same bits
         sizes = keyed.groupBy("mask", "value").count()
