@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import classifier, exact_dedup, line_dedup, mixing, nearest, packing, pii, repeats, simhash, time_partitions, token_counts, warc
+from millrace.llm import classifier, compression, exact_dedup, line_dedup, mixing, nearest, packing, pii, repeats, simhash, time_partitions, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_time_partitions": time_partitions.op11_time_partitions,
     "op12_repeats": repeats.op12_repeats,
+    "op13_compression": compression.op13_compression,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
