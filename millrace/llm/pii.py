@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that no base pattern knows.
 
 Base spans (email, ip, card, phone) are found in whole texts, leftmost and non-overlapping for each kind, in linear
-time. They seed a graph: identifier-like mentions (words with enough digits or an @) are instances, and the words around
-a mention are lexical patterns (two before, two after, one on each side; words of any length, however far away). Spark
+time. They seed a graph: words with a digit or an @ (and numeric words right after them) are instances, and the words around
+a mention are lexical patterns (two before, two after, one on each side; words of any length, however far away; a word is
+cut where another mention begins or ends within it). Spark
 scores the graph in rounds: a pattern's confidence for a kind is the mean score of all identifier-like instances in it,
 given enough distinct ones of that kind; an instance's score is the chance that one of its confident patterns is right.
 Instances that end above ``accept`` and have the loose shape of the kind give further spans, wherever they occur. Base
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,13 +114,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int
     at = 0
     if "@" in text or DIGIT.search(text):
         for m in MENTION.finditer(text):
-            if "@" not in m[0] and len(DIGIT.findall(m[0])) < 6:
-                continue
             for a, b in windows(text, *m.span()):
                 core = text[a:b].strip(EDGES)
                 start = a + text[a:b].find(core)
                 end = start + len(core)
-                if "@" not in core and len(DIGIT.findall(core)) < 6:
+                if not core:
                     continue
                 while at < len(taken) and taken[at][1] <= start:
                     at += 1
@@ -128,23 +127,37 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int
                 found.append((-1, start, end))
     if not found:
         return []
-    words = [m.span() for m in WORD.finditer(text)]
-    starts, ends = [a for a, _ in words], [b for _, b in words]
-
-    def near(places, low: int, high: int) -> list[str]:
-        """The first two words of the places that aren't mere signs, within low and high."""
+    # words are cut at the borders of all spans, so no piece belongs to two spans' contexts in part, and each is read once
+    borders = sorted({x for _, a, b in found for x in (a, b)})
+    starts, ends, at = [], [], 0
+    for m in WORD.finditer(text):
+        start, end = m.span()
+        while at < len(borders) and borders[at] <= start:
+            at += 1
+        while at < len(borders) and borders[at] < end:
+            starts.append(start)
+            ends.append(start := borders[at])
+            at += 1
+        starts.append(start)
+        ends.append(end)
+    known: dict[int, str] = {}
+
+    def near(places) -> list[str]:
+        """The first two words of the places that aren't mere signs."""
         out: list[str] = []
         for k in places:
-            if w := _word(text[max(low, starts[k]) : min(high, ends[k])]):
-                out.append(w)
+            if k not in known:
+                known[k] = _word(text[starts[k] : ends[k]])
+            if known[k]:
+                out.append(known[k])
                 if len(out) == 2:
                     break
         return out
 
     out = []
     for kind, a, b in found:
-        left = near(range(bisect_left(starts, a) - 1, -1, -1), 0, a)
-        right = near(range(bisect_right(ends, b), len(words)), b, len(text))
+        left = near(range(bisect_left(starts, a) - 1, -1, -1))
+        right = near(range(bisect_left(starts, b), len(starts)))
         patterns = []
         if len(left) == 2:
             patterns.append(f"{left[1]} {left[0]} _")

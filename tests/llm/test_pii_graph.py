@@ -79,7 +79,7 @@ def test_added_spans_find_unknown_identifiers_and_nothing_else(spark):
     assert recall == 1 and precision == 1
 
 
-@pytest.mark.parametrize("text", ["a" * 10**6 + " 1", "1" * 10**6, "@" * 10**6, "漢" * 10**6 + "7", ("7" + "a" * 50) * 20_000, "1 " * 500_000, "a@b " * 250_000, "- " * 500_000 + "user1234567"])
+@pytest.mark.parametrize("text", ["a" * 10**6 + " 1", "1" * 10**6, "@" * 10**6, "漢" * 10**6 + "7", ("7" + "a" * 50) * 20_000, "1 " * 500_000, "a@b " * 250_000, "- " * 500_000 + "user1234567", "10.1.2.3," * 111_000, "a1@b.co," * 125_000, "a1@b.co,--" * 100_000, "+1 23456789;" * 80_000, "x1=" * 330_000, "1, " * 330_000])
 def test_long_texts_take_linear_time(text):
     began = time.time()
     pii.mentions(text, pii.base_spans(text))
@@ -95,6 +95,18 @@ def test_rows_of_numbers_are_cut_and_long_words_kept():
     assert found[2:4] == (9, 9 + len(long)) and found[0].startswith("#") and found[4] & 1
 
 
+def test_contexts_end_at_neighbouring_mentions():
+    text = "see a1@b.co,c2@d.eu; then"
+    got = {text[a:b]: p for _, k, a, b, _, p in pii.mentions(text, pii.base_spans(text)) if k == 0}
+    assert got == {"a1@b.co": ["_ c0@d.eu then", "see _ c0@d.eu"], "c2@d.eu": ["see a0@b.co _", "a0@b.co _ then"]}
+
+
+def test_identifiers_of_few_digits_are_found(spark):
+    texts = [f"node {k} listens at 10.0.{k}.7 all day long" for k in range(40)] + ["node 41 listens at 1:2:3:4 all day long", "node 42 listens at noon all day long", "at 5 all day"]
+    got = pii.find(odd_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).where("id >= 40").collect()
+    assert {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got} == {40: [(1, 19, 26)], 41: [], 42: []}
+
+
 def test_odd_rows(spark):
     text = "please write to us at user1@host1.example for more news"
     rows = [(None, text, "en", "a"), (3, text, "en", "a"), (3, text, "en", "a"), (4, None, "en", None), (5, "x" * 300_000 + " 1", "en", "a")]
