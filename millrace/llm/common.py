@@ -46,16 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, files: int = 8) -> DataFrame:
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and files that df's plan reads, by the optimizer's figures; relations of unknown size are left out."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def cut(df: DataFrame, files: int = 8, task_bytes: int = 128 << 20) -> DataFrame:
     """The rows of df, kept in the shared folder, so that a lost executor costs no earlier work.
 
-    At most ``files`` files for each core, however many partitions df has. Row numbers made by
+    Small partitions are put together, down to ``files`` tasks for each core, or to more where a task would then read
+    over ``task_bytes`` of the input: large inputs are worked on as finely as they are scanned. Row numbers made by
     monotonically_increasing_id() are fixed from here on. Spark removes the folders of checkpoints that nothing refers to
     any more where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    return df.coalesce(max(8, files * spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    return df.coalesce(max(8, files * spark.sparkContext.defaultParallelism, read_bytes(df) // task_bytes)).checkpoint(eager=True)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:

@@ -6,9 +6,9 @@ beyond the depth has a support, the number of the leaf's distinct lines with tha
 as large as the support that the share ``similarity`` of its words reaches, and words with less than ``least_share`` of
 that are variable fields, <*> in the line's template. A line without a family is a template of its own.
 
-Templates that recur in enough documents are dropped, line by line. Enough depends on the number of words: ``long_words``
-or more in 2 documents, ``short_words`` or more in ``least_documents``, and fewer words (menus, buttons) in as many
-documents as give ``long_words`` words together. Documents with equal texts count once; blank lines always stay.
+Templates that recur in enough documents are dropped, line by line: in as many as give ``words_together`` words together,
+and in two at least. So one word (a button) has to recur in 50 documents, five words in 10, 25 or more in 2. Documents with
+equal texts count once; blank lines always stay.
 
 Only hashes of lines are gathered at first (one pass over the texts); words follow for one place of each distinct line of
 the leaves that lie in enough documents and hold more than one line. Counts are pre-aggregated, so a line that a third of
@@ -47,9 +47,9 @@ def document_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
 
 
-def least_needed(n: Column, least_documents: int, short_words: int, long_words: int) -> Column:
+def least_needed(n: Column, words_together: int) -> Column:
     """Documents in which a template of n words has to lie."""
-    return F.when(n >= long_words, 2).when(n >= short_words, least_documents).otherwise(F.ceil(F.lit(long_words) / n)).cast("long")
+    return F.greatest(F.lit(2), F.ceil(F.lit(words_together) / n)).cast("long")
 
 
 def maybe(rows: DataFrame, keys: DataFrame, bits: int = 1 << 25) -> DataFrame:
@@ -88,10 +88,10 @@ def templates(wide: DataFrame, docs: DataFrame, text_col: str, depth: int, simil
     return lines.select("leaf", "line", "n", "d", F.xxhash64(F.get(F.transform(F.array(family), kept), F.lit(0))).alias("template"))
 
 
-def recurring(docs: DataFrame, text_col: str = "text", *, depth: int = 4, least_documents: int = 3, short_words: int = 5, long_words: int = 50, similarity: float = 0.7, least_share: float = 0.5) -> DataFrame:
+def recurring(docs: DataFrame, text_col: str = "text", *, depth: int = 4, words_together: int = 50, similarity: float = 0.7, least_share: float = 0.5) -> DataFrame:
     """Rows (a, b, places): for each text that loses lines, its key and the places of the lines to drop."""
     text = F.col(f"`{text_col}`")
-    need = least_needed(F.col("n"), least_documents, short_words, long_words)
+    need = least_needed(F.col("n"), words_together)
     lines = docs.where(text.isNotNull()).select(*document_key(text), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     lines = lines.select("a", "b", "pos", masked(F.col("raw")).alias("t"))
     n = F.when(F.octet_length("t") == 0, 0).otherwise(n_words(F.col("t")))
@@ -147,7 +147,7 @@ texts AS (SELECT text, row_number() OVER () AS k FROM (SELECT DISTINCT text FROM
 raw AS (SELECT k, u.pos, u.line FROM texts, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 plain AS (SELECT k, pos, line, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM raw),
 slim AS (SELECT DISTINCT k, t, len(string_split(t, ' ')) AS n, array_to_string(string_split(t, ' ')[1:4], ' ') AS head,
-  CASE WHEN len(string_split(t, ' ')) >= 50 THEN 2 WHEN len(string_split(t, ' ')) >= 5 THEN 3 ELSE ceil(50 / len(string_split(t, ' '))) END AS need FROM plain WHERE t <> ''),
+  greatest(2, ceil(50 / len(string_split(t, ' ')))) AS need FROM plain WHERE t <> ''),
 per_line AS (SELECT n, head, t, need, count(*) AS d FROM slim GROUP BY ALL),
 leaves AS (SELECT n, head, count(*) AS n_lines FROM per_line GROUP BY ALL HAVING sum(d) >= any_value(need)),
 words AS (SELECT n, head, t, n_lines, unnest(string_split(t, ' ')) AS word, generate_subscripts(string_split(t, ' '), 1) AS place FROM per_line JOIN leaves USING (n, head) WHERE n > 4),

@@ -22,7 +22,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, shared_dir, table
+from millrace.llm.common import shared_dir, table
+from millrace.llm.store import located, publish, saved
 
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -30,6 +31,8 @@ VERSION, END = "WARC/1.1", "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Rows of an index that a task holds before it writes them.
+INDEX_ROWS = 8192
 INDEX = "record_id string, offset long, size long, record_type string, payload_bytes long, payload_digest string, refers_to string, archive string"
 
 
@@ -44,11 +47,13 @@ def base32(sha_hex: Column) -> Column:
 
 def assign(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
     """Rows (row, id, url, payload, n_bytes, sha, refers_id, refers_row): the last two of revisits only."""
-    # hashes first and without the payload, so that the rows which meet are small; a scan gives the same row numbers twice
+    # hashes first and without the payload, so that the rows which meet are small
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    slim = cut(base.select("row", "id", "n_bytes", "sha"))
+    # row numbers are read twice, so they are kept with their rows: only a plain scan would give the same ones again
+    base = saved(base, f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-rows-{uuid.uuid4().hex}")
+    slim = base.select("row", "id", "n_bytes", "sha")
     first = slim.groupBy("sha", "n_bytes").agg(F.max(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = slim.where(F.col("n_bytes") >= least_bytes).join(first, ["sha", "n_bytes"]).where(F.col("row") != F.col("first.row"))
     again = again.select("row", F.col("first.id").alias("refers_id"), F.col("first.row").alias("refers_row"))
@@ -132,13 +137,6 @@ def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("a gzip member is cut off")
 
 
-def located(path: str):
-    """Arrow's file system and the path in it; Spark spells local files with one slash."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def digest_of(header: dict[str, str], payload: bytes, whole: bool) -> str:
     """The record's SHA-1 in base32, computed where the record holds its whole payload, else as its header has it."""
     import base64
@@ -180,7 +178,7 @@ def _normalise(out: str, level: int):
         store, root = located(out)
         store.create_dir(root, recursive=True)
         names = [f.split()[0] for f in INDEX.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string()}
+        index_schema, n = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in INDEX.split(", ")]), 0
         for path in (p for b in batches for p in b.column(0).to_pylist()):
             # names of different paths never meet
             name = posixpath.basename(path)
@@ -190,19 +188,26 @@ def _normalise(out: str, level: int):
             attempt = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}.{uuid.uuid4().hex[:8]}"
             rows, offset = [], 0
             source, place = located(path)
-            with source.open_input_stream(place, compression=None) as file, store.open_output_stream(f"{attempt}.warc.gz", compression=None) as f:
+
+            def listed(rows):
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, index_schema.types, strict=True)], schema=index_schema)
+
+            with source.open_input_stream(place, compression=None) as file, store.open_output_stream(f"{attempt}.warc.gz", compression=None) as f, store.open_output_stream(f"{attempt}.index", compression=None) as g, pq.ParquetWriter(g, index_schema) as index:
                 for header, payload, raw in split_stream(inflate(iter(lambda file=file: file.read(1 << 20), b""))):
                     data = member(raw, level)
                     f.write(data)
                     kind, n_bytes, digest, refers = described(header, payload)
                     rows.append((header.get("warc-record-id"), offset, len(data), kind, n_bytes, digest, refers, f"{root}/{name}.warc.gz"))
                     offset += len(data)
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            index = pa.table([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, INDEX.split(", "), strict=True)], names=names)
-            pq.write_table(index, f"{attempt}.index", filesystem=store)
+                    if len(rows) == INDEX_ROWS:
+                        index.write_batch(listed(rows))
+                        n, rows = n + len(rows), []
+                index.write_batch(listed(rows))
+                n += len(rows)
             for end, last in ((".warc.gz", ".warc.gz"), (".index", ".index.parquet")):
-                store.move(f"{attempt}{end}", f"{root}/{name}{last}")
-            yield from index.to_batches()
+                publish(store, f"{attempt}{end}", f"{root}/{name}{last}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return run
 
@@ -210,10 +215,10 @@ def _normalise(out: str, level: int):
 def normalise(spark: SparkSession, monolithic: str, out: str, level: int = 4) -> DataFrame:
     """Writes archives and sidecar indexes into out and returns the indexes' rows, read back from there.
 
-    Tasks get paths only and read each file as a stream, so a task holds one record and one step of a file.
+    Tasks get paths only and read each file as a stream, so a task holds one record, one step of a file and ``INDEX_ROWS`` rows of its index.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(monolithic).select("path")
-    written = files.mapInArrow(_normalise(out, level), INDEX).agg(F.count("*").alias("n")).first()["n"]
+    written = files.mapInArrow(_normalise(out, level), "n long").agg(F.sum("n").alias("n")).first()["n"]
     if not written:
         return spark.createDataFrame([], INDEX)
     return spark.read.schema(INDEX).option("pathGlobFilter", "*.index.parquet").parquet(out)

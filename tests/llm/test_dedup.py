@@ -148,5 +148,5 @@ def test_lines_and_templates(spark):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[52]["__n_dropped"] == 0
     # a template with a variable field that holds no digit, generalised within its leaf
     rows = [(i, f"the quick brown fox jumps over {w} dog in the morning", "en", "a") for i, w in enumerate(["lazy", "small", "big", "old"])]
-    assert all(r["text"] == "" for r in line_dedup.clean(odd_docs(spark, rows)).collect())
+    assert all(r["text"] == "" for r in line_dedup.clean(odd_docs(spark, rows), words_together=33).collect())
     assert line_dedup.clean(odd_docs(spark, [])).count() == 0
