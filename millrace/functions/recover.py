@@ -1,7 +1,8 @@
 """Recovery of a JSON object from a model's raw text. Six variants, which disagree; choose one by name.
 
 Each gives a struct: ``value`` (VARIANT or null), ``error`` (null if recovered) and ``direct`` (parsed without cutting
-out a block in braces). JSON is strict: repeated keys and bare NaN or Infinity don't parse.
+out a block in braces). JSON is what Python's parser takes: of repeated keys the last counts, NaN and Infinity are numbers, and
+nothing may follow the value.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import pyjson
 from millrace.functions import text as X
 
 VARIANTS = ("generator", "scorer", "notebook", "api", "infer", "cli")
@@ -40,14 +42,12 @@ def recover(raw: Column | str, variant: str = "scorer") -> Column:
         t = X.strip_fences_anywhere(raw, trailing=variant == "api")
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    parsed = X.bind(t, lambda x: F.struct(F.try_parse_json(x).alias("whole"), X.brace_block(x).alias("block")))
-    parsed = X.bind(parsed, lambda x: F.struct(x["whole"].alias("whole"), x["block"].alias("block"), F.try_parse_json(x["block"]).alias("part")))
-    return X.bind(parsed, lambda x: _choose(x, variant))
+    return X.bind(pyjson.read(t), lambda x: _choose(x, variant))
 
 
 def _choose(x: Column, variant: str) -> Column:
-    whole, block, part = x["whole"], x["block"], x["part"]
-    no_block = F.when(block.isNull(), "No JSON object found").otherwise("JSON parse failed")
+    whole, part = x["whole"], x["part"]
+    no_block = F.when(x["braces"], "JSON parse failed").otherwise("No JSON object found")
     if variant == "scorer":  # anything but an object is retried
         value, error = F.when(is_object(whole), whole).when(is_object(part), part), no_block
     elif variant == "cli":  # no retry
@@ -57,7 +57,7 @@ def _choose(x: Column, variant: str) -> Column:
         ok = is_object(found) & (kind(F.try_variant_get(found, "$.document_text", "variant")) == "STRING") & (kind(F.try_variant_get(found, "$.ground_truth_json", "variant")) == "OBJECT")
         value, error = F.when(F.coalesce(ok, F.lit(False)), found), F.lit("no generated pair")
     else:
-        value, error = F.coalesce(whole, part), F.when(block.isNull(), "No JSON found").otherwise("Could not parse output")
+        value, error = F.coalesce(whole, part), F.when(x["braces"], "Could not parse output").otherwise("No JSON found")
         if variant == "notebook":  # an empty object counts as a failure
             value = F.when(is_object(value) & (F.to_json(value) != "{}"), value)
     return _result(F.coalesce(value, F.lit(None).cast("variant")), F.when(value.isNull(), error), whole.isNotNull())
@@ -73,10 +73,10 @@ def answer(raw: Column | str, variant: str) -> Column:
     no_braces, no_json, few, many = SAID[variant]
     text = raw if variant == "cli" else X.strip_fences_anywhere(raw, trailing=variant == "api")
 
-    def of(t: Column) -> Column:
-        braces = F.contains(t, F.lit("{")) & F.contains(t, F.lit("}"))
-        whole = F.try_parse_json(X.strip_fences_by_line(raw) if variant == "cli" else t)
-        value = whole if variant == "cli" else F.coalesce(whole, F.try_parse_json(X.brace_block(t)))
-        return F.struct(value.alias("value"), F.when(value.isNull(), F.when(braces, no_json).otherwise(no_braces)).alias("error"), F.when(value.isNull(), F.when(braces, F.substring(t, 1, many)).otherwise(F.substring(t, 1, few))).alias("raw"))
+    found = pyjson.read(X.strip_fences_by_line(raw) if variant == "cli" else text)
 
-    return X.bind(text, of)
+    def of(x: Column) -> Column:
+        value = x["whole"] if variant == "cli" else F.coalesce(x["whole"], x["part"])
+        return F.struct(value.alias("value"), F.when(value.isNull(), F.when(x["braces"], no_json).otherwise(no_braces)).alias("error"), F.when(value.isNull(), F.when(x["braces"], F.substring(text, 1, many)).otherwise(F.substring(text, 1, few))).alias("raw"))
+
+    return X.bind(found, of)

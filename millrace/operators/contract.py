@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import pyjson
 from millrace.functions import text as X
 from millrace.functions.recover import is_array, is_object, kind
 
@@ -167,7 +168,7 @@ def reason_key(error: Column) -> Column:
 
 def validate(df: DataFrame, payload: str = "ground_truth_json") -> DataFrame:
     """With validation_error (null if valid) and record (null unless valid). The payload is VARIANT or JSON text."""
-    v = F.col(payload) if dict(df.dtypes)[payload] == "variant" else F.try_parse_json(F.col(payload))
+    v = F.col(payload) if dict(df.dtypes)[payload] == "variant" else pyjson.parse(F.col(payload))
     df = df.withColumn("__v", X.once(v)).withColumn("__errors", X.once(errors(F.col("__v"))))
     wrong = F.when(is_object(F.col("__v")), None).when(F.col("__v").isNull() | (kind(F.col("__v")) == "VOID"), f"Missing '{payload}' key").otherwise(F.concat(F.lit(f"{payload} is not a dict, got "), F.lower(kind(F.col("__v")))))
     df = df.withColumn("validation_error", X.once(F.coalesce(wrong, summary(F.col("__errors")))))

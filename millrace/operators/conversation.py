@@ -28,14 +28,21 @@ def compact(record: Column) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
+def _dumps(value) -> str:
+    """Compact JSON; a lone surrogate, which no UTF-8 text can hold, is a ValueError."""
+    out = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    out.encode("utf-8")
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def _compact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(text: str | None) -> str | None:
         if text is None:
             return None
         try:
-            return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
+            return _dumps(json.loads(text))
+        except (ValueError, RecursionError):
             return None
 
     for t in texts:
@@ -46,8 +53,8 @@ def _compact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def _compact_payload(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(line: str | None) -> str | None:
         try:
-            return json.dumps(json.loads(line or "")["ground_truth_json"], ensure_ascii=False, separators=(",", ":"))
-        except (ValueError, KeyError, TypeError):
+            return _dumps(json.loads(line or "")["ground_truth_json"])
+        except (ValueError, KeyError, TypeError, RecursionError):
             return None
 
     for t in lines:
@@ -55,7 +62,7 @@ def _compact_payload(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def compact_text(text: Column) -> Column:
-    """JSON text without blanks, keys in their order and numbers as they are; null if it isn't JSON.
+    """JSON text without blanks, keys in their order and numbers as they are; null if it isn't JSON or holds a lone surrogate.
 
     Python on executors, as a VARIANT sorts its keys and drops the zeros of 150.0, and nothing built in re-spaces a text.
     """

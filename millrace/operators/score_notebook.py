@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import pyjson
 from millrace.functions import text as X
 from millrace.functions.recover import kind, recover
 from millrace.operators.contract import get
@@ -38,7 +39,7 @@ def line_items(predicted: Column, truth: Column) -> Column:
 def rows(df: DataFrame, raw: str = "raw_output", truth: str = "ground_truth_json", example_id: str = "id") -> DataFrame:
     """Rows (example_id, other columns, parsed_ok, scores map<field, double>)."""
     kept = [c for c in df.columns if c not in (raw, truth, example_id)]
-    t = F.col(truth) if dict(df.dtypes)[truth] == "variant" else F.try_parse_json(F.col(truth))
+    t = F.col(truth) if dict(df.dtypes)[truth] == "variant" else pyjson.parse(F.col(truth))
     x = df.select(F.col(example_id).alias("example_id"), *kept, X.once(recover(F.col(raw), "notebook")["value"]).alias("__p"), X.once(t).alias("__t"))
     p, t = F.col("__p"), F.col("__t")
     scores = F.create_map(*(v for f in SCORED for v in (F.lit(f), same(get(p, f), get(t, f)).cast("double"))), F.lit("line_items"), line_items(p, t))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import pyjson
 from millrace.functions import text as X
-from millrace.functions.recover import answer
-from millrace.operators import contract, conversation, metrics, quality
+from millrace.functions.recover import VARIANTS, answer, recover
+from millrace.operators import contract, conversation, metrics, quality, serving
 from millrace.plans import evaluation
 from millrace.plans.queries import ITEMS, SPACE, _raw, docs, query
 from millrace.sources import invoices, jsonl
@@ -87,7 +88,7 @@ def recovery_answers(spark, d):
 @query("SELECT CASE event_id % 8 WHEN 3 THEN 'not an object' WHEN 0 THEN 'good' WHEN 6 THEN 'good' ELSE 'malformed JSON' END AS problem, count(*) AS n FROM events GROUP BY 1")
 def line_problems(spark, d):
     """JSON lines by what is wrong with them."""
-    x = _raw(spark, d).select(F.col("raw").alias("line"), F.try_parse_json("raw").alias("value"))
+    x = _raw(spark, d).select(F.col("raw").alias("line"), pyjson.parse("raw").alias("value"))
     return jsonl.judge(x).groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
 
 
@@ -122,3 +123,34 @@ def float_spelling(spark, d):
 @query("SELECT unnest([" + ", ".join(f"{{'place': {k}, 'field': '{f}', 'type': '{contract.type_of(f)}', 'required': {str(f not in contract.OPTIONAL).lower()}}}" for k, f in enumerate(contract.FIELDS)) + "], recursive := true)")
 def schema_fields(spark, d):
     return contract.schema(spark)
+
+
+_OUTPUT = f"WITH {ITEMS}, o AS (SELECT *, o_orderkey % 12 AS k, ['USD', 'EUR', 'GBP', 'CAD'][s_nationkey % 4 + 1] AS currency FROM r)"
+
+
+@query(f"""{_OUTPUT} SELECT o_orderkey AS id, k NOT IN (5, 6, 7) AS api_valid, CASE WHEN k = 6 THEN 'Could not parse output' END AS api_error, k NOT IN (5, 6, 7) AS cli_valid, CASE WHEN k IN (5, 6) THEN 'Could not parse model output' END AS cli_error,
+ CASE WHEN k NOT IN (5, 6, 7) THEN currency END AS cli_currency, CASE WHEN k NOT IN (5, 6, 7) THEN o_totalprice + CASE WHEN k = 3 THEN 0.004::DOUBLE ELSE 0::DOUBLE END END AS cli_total FROM o""")
+def serving_replies(spark, d):
+    """Replies to model outputs: validity on both surfaces, and the normalised record of the command line."""
+    x = invoices.outputs(spark, d).select("id", *(X.once(serving.reply("raw_output", v)).alias(v) for v in ("api", "cli")))
+    both = (F.col(f"{v}.{f}").alias(f"{v}_{n}") for v in ("api", "cli") for f, n in (("schema_valid", "valid"), ("error", "error")))
+    return x.select("id", *both, F.col("cli.record.currency").alias("cli_currency"), F.col("cli.record.total_amount").alias("cli_total"))
+
+
+#: Texts that only Python's parser reads (or refuses), by the key's remainder of 10.
+ODD_JSON = (
+    lambda p: F.concat(F.lit('{"k":-1,"a":0,"k":-2,'), F.substring(p, F.lit(2), F.length(p))), lambda p: F.concat(F.lit('{"a":NaN,'), F.substring(p, F.lit(2), F.length(p))), lambda p: F.lit("[-Infinity, 1]"),
+    lambda p: F.concat(p, F.lit(" x")), lambda p: F.concat(p, F.lit("}")), lambda p: F.lit('{"a":Infinity} {"b":2}'), lambda p: F.lit("NaN"), lambda p: F.lit('{"a":{"b":1,"b":[1,{"c":0,"c":NaN}]}}'),
+    lambda p: F.lit('```json\n{"document_text":1,"document_text":"y","ground_truth_json":{"a":1,"a":NaN}}\n```'), lambda p: p,
+)
+_READS = {"generator": "8", "scorer": "0, 1, 3, 7, 8, 9", "notebook": "0, 1, 3, 7, 8, 9", "api": "0, 1, 2, 3, 6, 7, 8, 9", "infer": "0, 1, 2, 3, 6, 7, 8, 9", "cli": "0, 1, 7, 8, 9"}
+
+
+@query("SELECT event_id, " + ", ".join(f"event_id % 10 IN ({r}) AS {v}" for v, r in _READS.items()) + ", CASE WHEN event_id % 10 IN (0, 1, 3, 9) THEN json_extract_string(props, '$.k')::BIGINT END AS k, CASE event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 'NaN'::DOUBLE END AS a, CASE WHEN event_id % 10 = 7 THEN 'NaN'::DOUBLE END AS deep FROM events")
+def recover_lenient(spark, d):
+    """Repeated keys, bare NaN and Infinity, and what follows a value, in all six variants."""
+    p = F.col("props")
+    raw = F.element_at(F.array(*(f(p) for f in ODD_JSON)), (F.col("event_id") % 10 + 1).cast("int"))
+    x = table(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", *(recover("raw", v)["value"].alias(v) for v in VARIANTS))
+    at = lambda path, kind: F.try_variant_get("scorer", path, kind)
+    return x.select("event_id", *(F.col(v).isNotNull().alias(v) for v in VARIANTS), at("$.k", "bigint").alias("k"), at("$.a", "double").alias("a"), at("$.a.b[1].c", "double").alias("deep"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import pyjson
 from millrace.functions import text as X
 from millrace.functions.recover import kind
 from millrace.operators.conversation import payload_text
@@ -19,7 +20,7 @@ def scan(spark: SparkSession, path: str, malformed: str = "count") -> DataFrame:
     malformed: "count" keeps bad lines with a problem, "drop" leaves them out, "fail" raises. Lines that are JSON but
     no object are bad, too.
     """
-    rows = spark.read.text(path).where(X.strip("value") != "").select(F.col("value").alias("line"), F.try_parse_json("value").alias("value"))
+    rows = spark.read.text(path).where(X.strip("value") != "").select(F.col("value").alias("line"), pyjson.parse("value").alias("value"))
     return judge(rows, malformed)
 
 
