@@ -121,6 +121,42 @@ def record(v: Column) -> Column:
     return F.struct(*(parts[f].alias(f) for f in FIELDS)).cast(RECORD)
 
 
+_NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+, ?\d+\))"
+
+
+def _plain_schema() -> str:
+    """What the schema of a payload looks like whose fields are all of their own types; keys come in alphabetical order."""
+    item = rf"OBJECT<description: STRING(, quantity: ({_NUMBER}|VOID))?, total: {_NUMBER}(, unit_price: ({_NUMBER}|VOID))?>"
+    kinds = {"string": "STRING", "number": _NUMBER, "array": f"ARRAY<{item}>"}
+    parts = []
+    for f in sorted(FIELDS):
+        k = kinds[type_of(f)]
+        parts.append(rf"({f}: ({k}|VOID)(, |>))?" if f in OPTIONAL else rf"{f}: {k}(, |>)")
+    return "^OBJECT<" + "".join(parts) + "$"
+
+
+def plain(v: Column) -> Column:
+    """The record of a payload that is valid as it stands, null of any other.
+
+    Nearly all payloads are of this kind: one look at the schema and one typed extraction tell, and only the others need
+    ``errors`` and ``record``, which look at each value's JSON type.
+    """
+    typed = F.when(F.schema_of_variant(v).rlike(_plain_schema()), F.try_variant_get(v, "$", RECORD))
+
+    def tidy(r: Column) -> Column:
+        own = {f: X.strip(r[f]) for f in DATES} | {"currency": F.upper(X.strip(r["currency"]))}
+        return F.when(r.isNotNull(), F.struct(*(own.get(f, r[f]).alias(f) for f in FIELDS)))
+
+    def sound(r: Column) -> Column:
+        wrong_item = lambda x: x["description"].isNull() | (F.length(x["description"]) == 0) | ~F.coalesce((x["total"] >= 0) & (x["total"] < float("inf")), F.lit(False))
+        day = lambda f: r[f].isNull() | r[f].rlike(r"^\d{4}-\d{2}-\d{2}$")
+        rate = r["tax_rate"].isNull() | r["tax_rate"].between(0.0, 1.0)
+        ok = (r["total_amount"] >= 0) & rate & (F.length(r["currency"]) == 3) & day("invoice_date") & day("due_date") & (F.size(r["line_items"]) > 0) & ~F.exists(r["line_items"], wrong_item)
+        return F.when(ok, r)
+
+    return X.bind(X.bind(typed, tidy), sound).cast(RECORD)
+
+
 def _bound(f: str, v: Column, error) -> Column:
     return X.bind(get(v, f), lambda x: _at(f, error(f, x)))
 
@@ -156,6 +192,10 @@ def errors(v: Column) -> Column:
     return F.when(F.size(found) > 0, found).when(F.coalesce(negative, F.lit(False)), F.array(F.lit(f": {NEGATIVE_ITEM}"))).otherwise(found)
 
 
+def no_errors() -> Column:
+    return F.array().cast("array<string>")
+
+
 def summary(found: Column, shown: int = 3) -> Column:
     """The first errors joined, and how many more there are; null if there is none."""
     more = F.when(F.size(found) > shown, F.concat(F.lit(" (+ "), (F.size(found) - shown).cast("string"), F.lit(" more)"))).otherwise("")
@@ -169,10 +209,11 @@ def reason_key(error: Column) -> Column:
 def validate(df: DataFrame, payload: str = "ground_truth_json") -> DataFrame:
     """With validation_error (null if valid) and record (null unless valid). The payload is VARIANT or JSON text."""
     v = F.col(payload) if dict(df.dtypes)[payload] == "variant" else pyjson.parse(F.col(payload))
-    df = df.withColumn("__v", X.once(v)).withColumn("__errors", X.once(errors(F.col("__v"))))
+    df = df.withColumn("__v", X.once(v)).withColumn("__plain", X.once(plain(F.col("__v"))))
+    df = df.withColumn("__errors", X.once(F.when(F.col("__plain").isNull(), errors(F.col("__v"))).otherwise(no_errors())))
     wrong = F.when(is_object(F.col("__v")), None).when(F.col("__v").isNull() | (kind(F.col("__v")) == "VOID"), f"Missing '{payload}' key").otherwise(F.concat(F.lit(f"{payload} is not a dict, got "), F.lower(kind(F.col("__v")))))
     df = df.withColumn("validation_error", X.once(F.coalesce(wrong, summary(F.col("__errors")))))
-    return df.withColumn("record", F.when(F.col("validation_error").isNull(), record(F.col("__v")))).drop("__v", "__errors")
+    return df.withColumn("record", F.coalesce("__plain", F.when(F.col("validation_error").isNull(), record(F.col("__v"))))).drop("__v", "__errors", "__plain")
 
 
 def route(df: DataFrame, error: str = "validation_error") -> tuple[DataFrame, DataFrame]:

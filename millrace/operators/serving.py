@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import pyjson
 from millrace.functions import text as X
 from millrace.functions.recover import SAID, is_object
-from millrace.operators.contract import RECORD, errors, record
+from millrace.operators.contract import RECORD, errors, plain, record
 
 
 def reply(raw: Column | str, variant: str) -> Column:
@@ -25,16 +25,17 @@ def reply(raw: Column | str, variant: str) -> Column:
     text = raw if variant == "cli" else t
 
     def of(x: Column) -> Column:
-        valid = x["whole"].isNotNull() & (F.size(errors(x["whole"])) == 0)
-        return F.struct(x["whole"].alias("whole"), x["part"].alias("part"), x["braces"].alias("braces"), F.coalesce(valid, F.lit(False)).alias("valid"))
+        known = plain(x["whole"])
+        checked = F.when(x["whole"].isNotNull() & (F.size(errors(x["whole"])) == 0), record(x["whole"]))
+        return F.struct(x["whole"].alias("whole"), x["part"].alias("part"), x["braces"].alias("braces"), F.coalesce(known, checked).alias("record"))
 
     def told(x: Column) -> Column:
         # what is cut from an object is the object itself
         cut = F.coalesce(F.when(is_object(x["whole"]), x["whole"]), x["part"])
-        value = x["whole"] if variant == "cli" else F.when(x["valid"], x["whole"]).otherwise(cut)
+        value = x["whole"] if variant == "cli" else F.when(x["record"].isNotNull(), x["whole"]).otherwise(cut)
         error = F.when(value.isNull(), F.when(x["braces"], no_json).otherwise(no_braces))
         shown = F.when(value.isNull(), F.when(x["braces"], F.substring(text, 1, many)).otherwise(F.substring(text, 1, few)))
-        normal = F.when(x["valid"], record(x["whole"])) if variant == "cli" else F.lit(None).cast(RECORD)
-        return F.struct(value.alias("value"), error.alias("error"), shown.alias("raw"), x["valid"].alias("schema_valid"), normal.alias("record"))
+        normal = x["record"] if variant == "cli" else F.lit(None).cast(RECORD)
+        return F.struct(value.alias("value"), error.alias("error"), shown.alias("raw"), x["record"].isNotNull().alias("schema_valid"), normal.alias("record"))
 
     return X.bind(X.bind(pyjson.read(t), of), told)
