@@ -46,11 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def read_bytes(df: DataFrame) -> int:
-    """Bytes of the tables and files that df's plan reads, by the optimizer's figures; relations of unknown size are left out."""
+def least_tasks(df: DataFrame, task_bytes: int) -> int:
+    """Tasks over which df's inputs are spread: files by ``task_bytes`` (the optimizer's figures), earlier cuts by their own tasks."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    return sum(n for n in sizes if n < 1 << 60)
+    total, tasks = 0, 1
+    for leaf in (leaves.apply(k) for k in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            tasks = max(tasks, leaf.rdd().getNumPartitions())
+        elif (size := int(str(leaf.stats().sizeInBytes()))) < 1 << 60:  # beyond: unknown
+            total += size
+    return min(1 << 20, max(tasks, total // task_bytes))
 
 
 def cut(df: DataFrame, files: int = 8, task_bytes: int = 128 << 20) -> DataFrame:
@@ -63,7 +68,7 @@ def cut(df: DataFrame, files: int = 8, task_bytes: int = 128 << 20) -> DataFrame
     """
     spark = df.sparkSession
     shared_dir(spark)
-    return df.coalesce(max(8, files * spark.sparkContext.defaultParallelism, read_bytes(df) // task_bytes)).checkpoint(eager=True)
+    return df.coalesce(max(8, files * spark.sparkContext.defaultParallelism, least_tasks(df, task_bytes))).checkpoint(eager=True)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:
