@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import pyjson
+from millrace.functions import pyjson, similarity
 from millrace.functions import text as X
 from millrace.functions.recover import VARIANTS, answer, recover
 from millrace.operators import contract, conversation, metrics, quality, serving
@@ -154,3 +154,23 @@ def recover_lenient(spark, d):
     x = table(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", *(recover("raw", v)["value"].alias(v) for v in VARIANTS))
     at = lambda path, kind: F.try_variant_get("scorer", path, kind)
     return x.select("event_id", *(F.col(v).isNotNull().alias(v) for v in VARIANTS), at("$.k", "bigint").alias("k"), at("$.a", "double").alias("a"), at("$.a.b[1].c", "double").alias("deep"))
+
+
+# recursive: the longest common block of a pair of stretches, the earliest of equals, then the stretches on both sides
+_BLOCKS = """WITH RECURSIVE t AS (SELECT p_partkey AS k, ' ' || upper(p_name) || ' ' || p_brand || ' ' || p_type || chr(9) AS raw, p_size FROM part),
+p AS (SELECT a.k, lower(trim(CASE WHEN a.p_size % 10 <> 0 THEN a.raw END, ' ' || chr(9))) AS a, lower(trim(CASE WHEN b.p_size % 15 <> 0 THEN b.raw END, ' ' || chr(9))) AS b FROM t a JOIN t b ON b.k = a.k + 1),
+r AS (SELECT k, a, b, 0::BIGINT AS size FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL
+  SELECT k, unnest([substr(a, 1, i - 1), substr(a, i + l)]), unnest([substr(b, 1, j - 1), substr(b, j + l)]), unnest([l, 0]) FROM (
+    SELECT k, a, b, best.l AS l, -best.i AS i, instr(b, substr(a, -best.i, best.l)) AS j FROM (
+      SELECT k, a, b, list_max(flatten([[{'l': l, 'i': -i} FOR l IN range(1, len(a) - i + 2) IF contains(b, substr(a, i, l))] FOR i IN range(1, len(a) + 1)])) AS best FROM r WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)),
+m AS (SELECT k, sum(size) AS m FROM r GROUP BY k)"""
+
+
+@query(f"{_BLOCKS} SELECT k AS p_partkey, CASE WHEN a IS NULL AND b IS NULL THEN 1 WHEN a IS NULL OR b IS NULL THEN 0 WHEN a = b THEN 1 ELSE 2.0::DOUBLE * m / (len(a) + len(b)) END::DOUBLE AS similarity FROM p LEFT JOIN m USING (k)")
+def item_similarity(spark, d):
+    """Similarity of each part's description to the next part's."""
+    raw = F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "), "p_brand", F.lit(" "), "p_type", F.lit("\t"))
+    x = table(spark, d, "part").select("p_partkey", "p_size", raw.alias("raw"))
+    a = x.select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.col("raw")).alias("a"))
+    b = x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.when(F.col("p_size") % 15 != 0, F.col("raw")).alias("b"))
+    return a.join(b, "p_partkey").select("p_partkey", similarity.similarity("a", "b").alias("similarity"))
