@@ -58,6 +58,14 @@ def least_tasks(df: DataFrame, task_bytes: int) -> int:
     return min(1 << 20, max(tasks, total // task_bytes))
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether df is files with filters and projections only, whose rows come in the same order at every evaluation."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def cut(df: DataFrame, files: int = 8, task_bytes: int = 128 << 20) -> DataFrame:
     """The rows of df, kept in the shared folder, so that a lost executor costs no earlier work.
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import cut, is_plain_scan, shared_dir, table
 from millrace.llm.store import located, publish, saved
 
 #: Fixed values of the format.
@@ -51,9 +51,10 @@ def assign(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    # row numbers are read twice, so they are kept with their rows: only a plain scan would give the same ones again
-    base = saved(base, f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-rows-{uuid.uuid4().hex}")
-    slim = base.select("row", "id", "n_bytes", "sha")
+    # row numbers are read twice: a plain scan gives the same ones again, those of other frames are kept with their rows
+    if not is_plain_scan(pages):
+        base = saved(base, f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-rows-{uuid.uuid4().hex}")
+    slim = cut(base.select("row", "id", "n_bytes", "sha"))
     first = slim.groupBy("sha", "n_bytes").agg(F.max(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = slim.where(F.col("n_bytes") >= least_bytes).join(first, ["sha", "n_bytes"]).where(F.col("row") != F.col("first.row"))
     again = again.select("row", F.col("first.id").alias("refers_id"), F.col("first.row").alias("refers_row"))

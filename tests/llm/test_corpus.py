@@ -224,3 +224,19 @@ def test_normalised_members_and_index(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     warc.write_monolithic(warc.records(pages(spark).limit(0)), empty)
     assert warc.read_records(warc.normalise(spark, empty, f"{empty}-out"), f"{empty}-out").count() == 0
+
+
+def test_records_of_a_frame_that_is_no_scan(spark, tmp_path):
+    from millrace.llm.common import is_plain_scan
+
+    pages = spark.range(400).select((F.col("id") % 150).alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("x"), F.col("id") % 40).alias("html"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    scan = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    assert is_plain_scan(scan) and is_plain_scan(scan.where("page_id > 1").select("url"))
+    mixed = scan.repartition(7).withColumn("r", F.rand()).orderBy("r")
+    assert not is_plain_scan(mixed) and not is_plain_scan(scan.where(F.rand() < 2)) and not is_plain_scan(pages)
+    rows = [r["value"] for r in warc.records(mixed).collect()]
+    name = lambda v, field: v.partition(f"{field}: ")[2].partition("\r\n")[0]
+    responses = {name(v, "WARC-Record-ID"): name(v, "WARC-Payload-Digest") for v in rows if "WARC-Type: response" in v}
+    revisits = [v for v in rows if "WARC-Type: revisit" in v]
+    assert len(responses) == 40 and len(revisits) == 360 and all(responses[name(v, "WARC-Refers-To")] == name(v, "WARC-Payload-Digest") for v in revisits)
