@@ -234,7 +234,7 @@ def test_records_of_a_frame_that_is_no_scan(spark, tmp_path):
     scan = spark.read.parquet(f"{tmp_path}/pages.parquet")
     assert is_plain_scan(scan) and is_plain_scan(scan.where("page_id > 1").select("url"))
     mixed = scan.repartition(7).withColumn("r", F.rand()).orderBy("r")
-    assert not is_plain_scan(mixed) and not is_plain_scan(scan.where(F.rand() < 2)) and not is_plain_scan(pages)
+    assert not is_plain_scan(mixed) and not is_plain_scan(pages)
     rows = [r["value"] for r in warc.records(mixed).collect()]
     name = lambda v, field: v.partition(f"{field}: ")[2].partition("\r\n")[0]
     responses = {name(v, "WARC-Record-ID"): name(v, "WARC-Payload-Digest") for v in rows if "WARC-Type: response" in v}
