@@ -5,15 +5,18 @@ They are registered beside those of ``queries`` when this module is imported.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import pyjson, similarity
 from millrace.functions import text as X
 from millrace.functions.recover import VARIANTS, answer, recover
-from millrace.operators import contract, conversation, metrics, quality, serving
+from millrace.operators import contract, conversation, dedup_index, metrics, quality, serving
 from millrace.plans import evaluation
-from millrace.plans.queries import ITEMS, SPACE, _raw, docs, query
+from millrace.plans.queries import GREEDY, ITEMS, SPACE, _raw, docs, query
 from millrace.sources import invoices, jsonl
+from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
 
 STRIPPED = f"regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -174,3 +177,14 @@ def item_similarity(spark, d):
     a = x.select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.col("raw")).alias("a"))
     b = x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.when(F.col("p_size") % 15 != 0, F.col("raw")).alias("b"))
     return a.join(b, "p_partkey").select("p_partkey", similarity.similarity("a", "b").alias("similarity"))
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT id AS doc_id, duplicate_of FROM gone")
+def dedup_incremental(spark, d):
+    """Three batches by identifier, each against the stored index of what was kept before; together what one run removes."""
+    all_docs = docs(spark, d)
+    folder = f"{shared_dir(spark).rstrip('/')}/dedup-index-{uuid.uuid4().hex}"
+    ends = all_docs.select(F.percentile_approx("doc_id", [0.4, 0.8]).alias("e")).first()["e"] or [0, 0]
+    parts = (F.col("doc_id") < ends[0], F.col("doc_id").between(ends[0], ends[1] - 1), F.col("doc_id") >= ends[1])
+    removed = [dedup_index.add(all_docs.where(part), folder, f"{n:05d}")[1].select("doc_id", "duplicate_of") for n, part in enumerate(parts)]
+    return removed[0].unionAll(removed[1]).unionAll(removed[2])
