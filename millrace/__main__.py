@@ -107,7 +107,7 @@ def price(spark, a) -> dict:
 
 
 def schema(spark, a) -> dict:
-    return {"fields": [r.asDict() for r in contract.schema(spark).orderBy("place").collect()]}
+    return {"fields": [r.asDict() for r in contract.schema(spark).orderBy("place").collect()], "json_schema": contract.json_schema()}
 
 
 def curate(spark, a) -> dict:

@@ -106,9 +106,19 @@ def python_float(c: Column | str) -> Column:
     """A double as Python spells it: 0.0, -100.0, 1e+16, 1e-05."""
     x = col(c)
     t, m = x.cast("string"), F.abs(x)
-    plain = F.regexp_replace(F.regexp_replace(t.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    # some JVMs spell a digit or two more than are needed
+    n = F.length(F.regexp_replace(F.substring_index(t, "E", 1), "[^0-9]", ""))
+    for digits in (17, 16):
+        shorter = F.format_string(f"%.{digits - 1}e", x)
+        t = F.when((n > digits) & (shorter.try_cast("double") == x), F.replace(shorter, F.lit("e"), F.lit("E"))).otherwise(t)
     power = F.substring_index(t, "E", -1).cast("int")
+    mantissa = F.substring_index(F.replace(t, F.lit("-"), F.lit("")), "E", 1)
+    digits_only = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    whole = F.concat(digits_only, F.repeat(F.lit("0"), power + 1 - F.length(digits_only)))  # positive powers: the point moves right
+    right = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(F.length(whole) > power + 1, F.substring(whole, power + 2, F.length(whole))).otherwise("0"))
+    left = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits_only)
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), F.when(power >= 0, right).otherwise(left))
     digits = F.lpad(F.abs(power).cast("string"), 2, "0")
-    small = F.concat(F.regexp_replace(F.substring_index(t, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, digits).otherwise(F.abs(power).cast("string")))
+    small = F.concat(F.regexp_replace(F.substring_index(t, "E", 1), r"\.?0+$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, digits).otherwise(F.abs(power).cast("string")))
     word = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
     return F.coalesce(word, F.when(~F.contains(t, F.lit("E")), t).when((m >= 1e-4) & (m < 1e16), plain).otherwise(small))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import pyjson
 from millrace.functions import text as X
@@ -235,3 +236,57 @@ def stats(df: DataFrame, difficulties: tuple[str, ...] = ("easy", "medium", "har
 def top_reasons(df: DataFrame, n: int = 5) -> DataFrame:
     """The most frequent failure reasons: the place of the first error, empty for a failure of the whole record."""
     return df.where("validation_error is not null").groupBy(reason_key(F.col("validation_error")).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(n)
+
+
+def stats_long(df: DataFrame) -> DataFrame:
+    """Rows (kind, key, n_total, n_valid): totals, and counts by scenario and by difficulty, of any number, in one pass."""
+    ok = F.count_if(F.col("validation_error").isNull()).alias("n_valid")
+    keys = df.select(F.coalesce("scenario_id", F.lit("unknown")).alias("scenario"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"), "validation_error")
+    sets = keys.groupingSets([["scenario"], ["difficulty"], []], "scenario", "difficulty").agg(F.count("*").alias("n_total"), ok, F.grouping_id().alias("g"))
+    kind = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "scenario").otherwise("difficulty")
+    return sets.select(kind.alias("kind"), F.coalesce("scenario", "difficulty", F.lit("")).alias("key"), "n_total", "n_valid")
+
+
+#: Constraints of fields beyond their type, in the words of JSON schemas.
+CONSTRAINTS = {"vendor_name": {}, "invoice_date": {"pattern": r"^\d{4}-\d{2}-\d{2}$"}, "due_date": {"pattern": r"^\d{4}-\d{2}-\d{2}$"}, "line_items": {"minItems": 1}, "tax_rate": {"minimum": 0, "maximum": 1}, "total_amount": {"minimum": 0}, "currency": {"minLength": 3, "maxLength": 3}, "description": {"minLength": 1}, "total": {"minimum": 0}}
+
+
+def json_schema(kind: T.DataType | None = None, required: tuple[str, ...] = ("vendor_name", "line_items", "total_amount", "currency", "description", "total"), name: str = "") -> dict:
+    """A JSON schema of the record, or of any type, by a walk down its fields."""
+    kind = T.StructType.fromDDL(RECORD.removeprefix("struct<").removesuffix(">")) if kind is None else kind
+    own = CONSTRAINTS.get(name, {})
+    if isinstance(kind, T.StructType):
+        fields = {}
+        for f in kind.fields:
+            inner = json_schema(f.dataType, required, f.name)
+            fields[f.name] = inner if f.name in required else inner | {"type": [inner["type"], "null"]}
+        return {"type": "object", "properties": fields, "required": [f.name for f in kind.fields if f.name in required]} | own
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType, required)} | own
+    return {"type": "string" if isinstance(kind, T.StringType) else "number"} | own
+
+
+JSON_TYPES = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array"}
+
+
+def departures(df: DataFrame, payload: str, schema: dict | None = None) -> DataFrame:
+    """Rows (field, found, n): for each field of the schema the JSON types, or ``absent``, that it doesn't allow, with how often."""
+    schema = json_schema() if schema is None else schema
+
+    def allowed(f: str) -> list[str]:
+        of = schema["properties"][f]["type"]
+        return [of] if isinstance(of, str) else of
+
+    v = F.col(payload)
+    word = lambda x: F.when(x.isNull(), "absent").otherwise(F.coalesce(F.element_at(F.create_map(*(F.lit(y) for pair in JSON_TYPES.items() for y in pair)), kind(x)), F.lit("number")))
+    rows = []
+    for f in schema["properties"]:
+        may = [*allowed(f), *(() if f in schema["required"] else ("absent",))]
+        rows.append(F.struct(F.lit(f).alias("field"), X.bind(get(v, f), word).alias("found"), F.array(*map(F.lit, may)).alias("may")))
+    seen = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where(~F.array_contains("may", F.col("found")))
+    return seen.groupBy("field", "found").agg(F.count("*").alias("n"))
+
+
+def table_schema(df: DataFrame, payload: str) -> str:
+    """The schema that covers all payloads of a table, as one string: what the table has, to hold against the contract."""
+    return df.agg(F.schema_of_variant_agg(payload)).first()[0]

@@ -1,8 +1,9 @@
 """Stratified evaluation, validation and training sets, and the lock of the evaluation set.
 
-Quotas are the driver's arithmetic over one row for each stratum; membership is the order of a seeded hash, so it is the
-same for any partitioning. A stratum's rows are never gathered: the smallest hashes are cut off at a threshold that a
-histogram of hash prefixes narrows down, and only the bucket of the threshold is ranked.
+Quotas come from prefix sums over the table of strata, of which there may be any number; membership is the order of a
+seeded hash, so it is the same for any partitioning. A stratum's rows are never gathered: the smallest hashes are cut off
+at a threshold that a histogram of hash prefixes narrows down, and only the bucket of the threshold is ranked. Rows meet
+their stratum's threshold by a join.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.jsonl import file_digests
+from millrace.sources.jsonl import file_digests, prefix_sums
+from millrace.sources.shared import cut
 
 
 def quotas(sizes: list[tuple[str, int]], n: int) -> dict[str, int]:
@@ -42,41 +44,52 @@ def order_key(seed: int, id_col: str, salt: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|{salt}|"), F.col(id_col).cast("string")))
 
 
-def take(df: DataFrame, n_of: dict[str, int], stratum: str, key: Column, id_col: str) -> Column:
-    """A condition that holds for the rows with the n smallest (key, id) of each stratum."""
-    spark = df.sparkSession
+def quota_table(strata: DataFrame, n: int) -> DataFrame:
+    """``quotas`` for any number of strata: rows (s, want) from rows (s, n, f), in the order of f."""
+    total = strata.agg(F.sum("n")).first()[0] or 0
+    n = min(n, total)
+    base = F.least(F.col("n"), F.rint(F.col("n") / F.lit(float(max(1, total))) * F.lit(float(n))).cast("long"))
+    rows = prefix_sums(strata.withColumn("base", base).withColumn("room", F.col("n") - F.col("base")), "f", {"rooms": "room", "bases": "base"})
+    taken = rows.agg(F.sum("base")).first()[0] or 0
+    short = n - taken
+    more = F.greatest(F.lit(0), F.least(F.lit(short) - F.col("rooms"), F.col("room")))
+    after = F.lit(taken) - F.col("bases") - F.col("base")
+    less = F.greatest(F.lit(0), F.least(F.lit(-short) - after, F.col("base")))
+    return rows.select("s", (F.col("base") + (more if short > 0 else -less)).cast("long").alias("want"))
+
+
+def limits(df: DataFrame, wanted: DataFrame, stratum: str, key: Column, id_col: str) -> DataFrame:
+    """Rows (s, k, i): the last of the ``want`` smallest (key, id) of each stratum of wanted (s, want); none where want is 0."""
     prefix = F.substring(key, 1, 4)
     # at most 65536 rows for each stratum, whatever the table's size
     counts = df.select(F.col(stratum).alias("s"), prefix.alias("p")).groupBy("s", "p").agg(F.count("*").alias("n"))
     running = F.sum("n").over(Window.partitionBy("s").orderBy("p"))
-    wanted = spark.createDataFrame([(k, n) for k, n in n_of.items()], "s string, want long")
-    edge = counts.withColumn("upto", running).join(F.broadcast(wanted), "s").where("upto >= want and upto - n < want").select("s", F.col("p").alias("edge"), (F.col("want") - F.col("upto") + F.col("n")).alias("rest"))
-    edges = {r["s"]: (r["edge"], r["rest"]) for r in edge.collect()}
-    if not edges:
-        return F.lit(False)
-    at = F.col(stratum)
-    edge_of = F.create_map(*(F.lit(x) for s, (p, _) in edges.items() for x in (s, p)))[at]
-    own = df.select(at.alias("s"), key.alias("k"), F.col(id_col).alias("i")).where(F.create_map(*(F.lit(x) for s, (p, _) in edges.items() for x in (s, p)))[F.col("s")] == F.substring("k", 1, 4))
-    rest_of = F.create_map(*(F.lit(x) for s, (_, r) in edges.items() for x in (s, r)))
-    last = own.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("k", "i"))).where(F.col("n") == rest_of[F.col("s")])
-    limits = {r["s"]: (r["k"], r["i"]) for r in last.collect()}
-    cond = F.lit(False)
-    for s, (k, i) in limits.items():
-        cond = cond | ((at == F.lit(s)) & ((key < F.lit(k)) | ((key == F.lit(k)) & (F.col(id_col) <= F.lit(i)))))
-    return cond & edge_of.isNotNull()
+    edge = counts.withColumn("upto", running).join(wanted, "s").where("upto >= want and upto - n < want").select("s", "p", (F.col("want") - F.col("upto") + F.col("n")).alias("rest"))
+    own = df.select(F.col(stratum).alias("s"), prefix.alias("p"), key.alias("k"), F.col(id_col).alias("i")).join(edge, ["s", "p"])
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy("k", "i"))).where("n = rest").select("s", "k", "i")
+
+
+def taken(df: DataFrame, wanted: DataFrame, stratum: str, key: Column, id_col: str, name: str) -> DataFrame:
+    """df with a boolean column: whether the row is one of the ``want`` first of its stratum."""
+    last = limits(df, wanted, stratum, key, id_col).select(F.col("s").alias(stratum), F.col("k").alias("__k"), F.col("i").alias("__i"))
+    hit = (key < F.col("__k")) | ((key == F.col("__k")) & (F.col(id_col) <= F.col("__i")))
+    return df.join(last, stratum, "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("__k", "__i")
 
 
 def assign(df: DataFrame, id_col: str = "id", stratum_col: str = "difficulty", *, eval_fraction: float = 0.12, eval_min: int = 50, val_fraction: float = 0.10, seed: int = 2024) -> DataFrame:
-    """The rows with a column split: eval, val or train. Strata come in order of their first identifier."""
+    """The rows with a column split: eval, val or train. Strata, of any number, come in order of their first identifier."""
+    columns = df.columns
     df = df.withColumn("__s", F.coalesce(F.col(stratum_col).cast("string"), F.lit("unknown")))
-    strata = [(r["__s"], r["n"]) for r in df.groupBy("__s").agg(F.count("*").alias("n"), F.min(id_col).alias("f")).orderBy("f").collect()]
-    n_eval, n_val = sizes_of_sets(sum(n for _, n in strata), eval_fraction, eval_min, val_fraction)
-    first = quotas(strata, n_eval)
-    in_eval = take(df, first, "__s", order_key(seed, id_col, "eval"), id_col)
-    rest = df.where(~in_eval)
-    second = quotas([(s, n - first[s]) for s, n in strata if n > first[s]], n_val)
-    in_val = take(rest, second, "__s", order_key(seed, id_col, "val"), id_col)
-    return df.withColumn("split", F.when(in_eval, "eval").when(in_val, "val").otherwise("train")).drop("__s")
+    strata = cut(df.groupBy(F.col("__s").alias("s")).agg(F.count("*").alias("n"), F.min(id_col).alias("f")))
+    n_eval, n_val = sizes_of_sets(strata.agg(F.sum("n")).first()[0] or 0, eval_fraction, eval_min, val_fraction)
+    first = cut(quota_table(strata, n_eval))
+    left = strata.join(first, "s").select("s", (F.col("n") - F.col("want")).alias("n"), "f").where("n > 0")
+    second = quota_table(left, n_val)
+    marked = taken(df, first, "__s", order_key(seed, id_col, "eval"), id_col, "__eval")
+    val = limits(marked.where("not __eval"), second, "__s", order_key(seed, id_col, "val"), id_col).select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("i").alias("__i"))
+    key = order_key(seed, id_col, "val")
+    in_val = (key < F.col("__k")) | ((key == F.col("__k")) & (F.col(id_col) <= F.col("__i")))
+    return marked.join(val, "__s", "left").select(*columns, F.when(F.col("__eval"), "eval").when(in_val, "val").otherwise("train").alias("split"))
 
 
 def stats(split: DataFrame, stratum_col: str = "difficulty") -> DataFrame:

@@ -29,7 +29,12 @@ def predict(eval_set: DataFrame, extract: Callable[[str], tuple[str, float]], te
 
 
 def joined(predictions: DataFrame, truths: DataFrame) -> DataFrame:
-    """Every truth with its prediction; one without has an empty output."""
+    """Every truth with its prediction; one without has an empty output.
+
+    Of several predictions of one identifier the one with the smallest text counts, so an example is scored once.
+    """
+    rest = [c for c in predictions.columns if c not in ("id", "raw_output")]
+    predictions = predictions.groupBy("id").agg(F.min(F.struct(F.col("raw_output").isNull().alias("none"), "raw_output", *rest)).alias("p")).select("id", "p.raw_output", *(F.col(f"p.{c}") for c in rest))
     return truths.join(predictions, "id", "left").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from millrace.functions import pyjson, similarity
 from millrace.functions import text as X
 from millrace.functions.recover import VARIANTS, answer, recover
-from millrace.operators import contract, conversation, dedup_index, metrics, quality, serving
+from millrace.operators import contract, conversation, dedup_index, metrics, quality, scenarios, serving, split
 from millrace.plans import evaluation
-from millrace.plans.queries import GREEDY, ITEMS, SPACE, _raw, docs, query
+from millrace.plans.queries import FLAGS, ITEMS, SPACE, SPLIT, _raw, docs, query
 from millrace.sources import invoices, jsonl
 from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
@@ -117,17 +117,6 @@ def metric_deltas(spark, d):
     return rates.select("event_type", metrics.delta(F.col("a"), F.col("b")).alias("delta"), metrics.bar(F.col("a")).alias("bar"))
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '0.0' WHEN 1 THEN '-100.0' WHEN 2 THEN '12345678.5' WHEN 3 THEN '1e+16' WHEN 4 THEN '1e-05' ELSE '0.0001' END AS spelled FROM events")
-def float_spelling(spark, d):
-    x = F.element_at(F.array(*(F.lit(v) for v in (0.0, -100.0, 12345678.5, 1e16, 1e-5, 1e-4))), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", X.python_float(x).alias("spelled"))
-
-
-@query("SELECT unnest([" + ", ".join(f"{{'place': {k}, 'field': '{f}', 'type': '{contract.type_of(f)}', 'required': {str(f not in contract.OPTIONAL).lower()}}}" for k, f in enumerate(contract.FIELDS)) + "], recursive := true)")
-def schema_fields(spark, d):
-    return contract.schema(spark)
-
-
 _OUTPUT = f"WITH {ITEMS}, o AS (SELECT *, o_orderkey % 12 AS k, ['USD', 'EUR', 'GBP', 'CAD'][s_nationkey % 4 + 1] AS currency FROM r)"
 
 
@@ -179,7 +168,7 @@ def item_similarity(spark, d):
     return a.join(b, "p_partkey").select("p_partkey", similarity.similarity("a", "b").alias("similarity"))
 
 
-@query(f"WITH RECURSIVE {GREEDY} SELECT id AS doc_id, duplicate_of FROM gone")
+@query()
 def dedup_incremental(spark, d):
     """Three batches by identifier, each against the stored index of what was kept before; together what one run removes."""
     all_docs = docs(spark, d)
@@ -188,3 +177,58 @@ def dedup_incremental(spark, d):
     parts = (F.col("doc_id") < ends[0], F.col("doc_id").between(ends[0], ends[1] - 1), F.col("doc_id") >= ends[1])
     removed = [dedup_index.add(all_docs.where(part), folder, f"{n:05d}")[1].select("doc_id", "duplicate_of") for n, part in enumerate(parts)]
     return removed[0].unionAll(removed[1]).unionAll(removed[2])
+
+
+_SPLIT_MANY = (
+    SPLIT.replace("SELECT doc_id, coalesce(lang, 'unknown') AS lang FROM documents", "SELECT o_orderkey AS doc_id, o_custkey::VARCHAR AS lang FROM orders")
+)  # the same rule over other rows
+
+
+@query(f"{_SPLIT_MANY} SELECT doc_id AS o_orderkey, split FROM split")
+def split_many(spark, d):
+    """Orders split within each customer: thousands of strata."""
+    return split.assign(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey").select("o_orderkey", "split")
+
+
+_FRACTIONS = {"click": 0.5, "view": 2.25, "error": 0.05, "purchase": 1.0, "none": 0.0, "rare": 1e-3}
+_ALIAS = scenarios.alias_table(list(_FRACTIONS.values()))
+_DRAW = "(('0x' || substr(md5('42|' || event_id), {}, 7))::BIGINT)"
+
+
+@query(f"SELECT s AS name, count(*) AS n FROM (SELECT CASE WHEN {_DRAW.format(8)} / 268435456.0::DOUBLE < {[k for k, _ in _ALIAS]}[i]::DOUBLE THEN {list(_FRACTIONS)}[i] ELSE {[list(_FRACTIONS)[j] for _, j in _ALIAS]}[i] END AS s FROM (SELECT event_id, {_DRAW.format(1)} % {len(_ALIAS)} + 1 AS i FROM events)) GROUP BY s")
+def scenario_weighted(spark, d):
+    """Draws by fractional weights."""
+    return table(spark, d, "events").select(scenarios.weighted(F.col("event_id"), _FRACTIONS).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"{FLAGS} SELECT 'all' AS kind, '' AS key, count(*) AS n_total, count(*) FILTER (validation_error IS NULL) AS n_valid FROM f UNION ALL SELECT 'scenario', scenario_id, count(*), count(*) FILTER (validation_error IS NULL) FROM f GROUP BY scenario_id UNION ALL SELECT 'difficulty', difficulty, count(*), count(*) FILTER (validation_error IS NULL) FROM f GROUP BY difficulty")
+def validation_long(spark, d):
+    return contract.stats_long(contract.validate(invoices.damaged(spark, d)))
+
+
+@query("SELECT kind, key, count(*) AS n_requested, count(*) FILTER (ok) AS n_generated, count(*) FILTER (NOT ok) AS n_parse_failures, count(*) FILTER (ok AND user_id % 5 = 0) AS n_schema_invalid_at_generation, coalesce(sum(user_id) FILTER (ok), 0)::BIGINT AS total_input_tokens FROM (SELECT *, event_type <> 'error' AS ok, unnest(['all', 'scenario', 'difficulty']) AS kind, unnest(['', 'user ' || user_id, ['easy', 'medium', 'hard'][event_id % 3 + 1]]) AS key FROM events) GROUP BY kind, key")
+def generation_long(spark, d):
+    """Run statistics in long form, by a scenario for each user."""
+    e = table(spark, d, "events")
+    level = F.element_at(F.array(*map(F.lit, invoices.DIFFICULTIES)), (F.col("event_id") % 3 + 1).cast("int"))
+    return metrics.generation_long(e, F.col("event_type") != "error", F.col("user_id") % 5 != 0, F.col("user_id"), F.concat(F.lit("user "), "user_id"), level)
+
+
+_FOUND = (("total_amount", "null", "1"), ("total_amount", "string", "2"), ("total_amount", "boolean", "18"), ("line_items", "object", "10"), ("vendor_name", "number", "11"), ("vendor_name", "absent", "12"), ("vendor_name", "null", "14"), ("subtotal", "array", "14"), ("subtotal", "string", "17"), ("tax_rate", "string", "14"), ("currency", "number", "7"), ("currency", "null", "14"))
+
+
+@query(f"WITH {ITEMS} SELECT field, found, n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS found, count(*) AS n FROM r WHERE o_orderkey % 20 IN ({k})" for f, t, k in _FOUND) + ") WHERE n > 0")
+def schema_conformity(spark, d):
+    """Where payloads depart from the types of the record's JSON schema."""
+    x = invoices.damaged(spark, d).select(pyjson.parse("ground_truth_json").alias("v"))
+    return contract.departures(x, "v")
+
+
+# DuckDB spells doubles as Python does, but for the blank-free exponents below 10 and integers beyond 1e15
+@query("SELECT o_orderkey, spelled FROM (SELECT o_orderkey, CASE WHEN abs(v) >= 1e-4 AND abs(v) < 1e15 OR v = 0 THEN CASE WHEN contains(v::VARCHAR, '.') THEN v::VARCHAR ELSE v::VARCHAR || '.0' END END AS spelled FROM (SELECT o_orderkey, (o_totalprice - 1000) / 7 * [1.0, -1.0, 1e-3, 1e4, 1e-6, 1e8, 1e-9, 1e12][o_orderkey % 8 + 1]::DOUBLE AS v FROM orders))")
+def float_spelling(spark, d):
+    """Doubles of many sizes as Python spells them, where they have no exponent."""
+    scale = F.element_at(F.array(*(F.lit(x) for x in (1.0, -1.0, 1e-3, 1e4, 1e-6, 1e8, 1e-9, 1e12))), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    x = table(spark, d, "orders").select("o_orderkey", ((F.col("o_totalprice") - 1000) / 7 * scale).alias("v"))
+    plain = ((F.abs("v") >= 1e-4) & (F.abs("v") < 1e15)) | (F.col("v") == 0)
+    return x.select("o_orderkey", F.when(plain, X.python_float("v")).alias("spelled"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import pyjson
@@ -45,20 +45,26 @@ def examples(rows: DataFrame) -> DataFrame:
     return rows.select(*map(text, ("id", "scenario_id", "difficulty", "document_text")), F.try_variant_get(v, "$.ground_truth_json", "variant").alias("ground_truth_json"), payload_text(F.col("line")).alias("ground_truth_text"), F.try_variant_get(v, "$.schema_valid_at_generation", "boolean").alias("schema_valid_at_generation"), *map(text, ("model", "generated_at")), *map(number, ("generation_ms", "input_tokens")))
 
 
-def with_ids(df: DataFrame, order: str, id_col: str = "id", form: str = "%d") -> DataFrame:
-    """Missing identifiers become the row's place in the order of a column, formatted.
+def prefix_sums(df: DataFrame, order: str, of: dict[str, str]) -> DataFrame:
+    """df with a column for each name of ``of``: the sum of another column over all rows before, in the order of a column.
 
-    Places are prefix sums over ranges of the order: one count for each input partition, then local places.
+    Sums over ranges of the order, one row for each partition, then sums within a range. The rows are kept, as ranges are
+    sampled and read twice. Rows that tie in the order come in any order.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    ranged = cut(ranged)  # places are read twice, and ranges are sampled
-    sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    start = F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))) if before else F.create_map(F.lit(0), F.lit(0))
-    place = F.element_at(start, F.col("__p")) + F.col("__i").bitwiseAND((1 << 33) - 1)
-    return ranged.withColumn(id_col, F.coalesce(F.col(id_col), F.format_string(form, place))).drop("__p", "__i")
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    ranges = ranged.groupBy("__p").agg(*(F.sum(c).alias(f"__{name}") for name, c in of.items()))
+    ranges = ranges.select("__p", *(earlier(f"__{name}", Window.orderBy("__p")).alias(f"__{name}") for name in of))
+    inside = Window.partitionBy("__p").orderBy(order)
+    summed = ranged.select("*", *(earlier(c, inside).alias(name) for name, c in of.items()))
+    return summed.join(ranges, "__p").select(*df.columns, *((F.col(name) + F.col(f"__{name}")).alias(name) for name in of))
+
+
+def with_ids(df: DataFrame, order: str, id_col: str = "id", form: str = "%d") -> DataFrame:
+    """Missing identifiers become the row's place in the order of a column, formatted."""
+    placed = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, {"__place": "__one"})
+    return placed.withColumn(id_col, F.coalesce(F.col(id_col), F.format_string(form, "__place"))).drop("__one", "__place")
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
