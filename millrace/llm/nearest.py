@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, table
 
 LEVELS = 64
+#: Rows of the sample for each direction at least: 2,048 cells from the default sample, more from a larger one.
+DIRECTION_ROWS = 16
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -206,8 +208,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     for dim in {len(x) for x in sampled}:
         own = np.array([x for x in sampled if len(x) == dim])
         own = own[np.random.default_rng(seed).permutation(len(own))]
-        # a cell holds about a block, and the sample has enough rows for each direction
-        cells = min(len(own) // 256, -(-n_rows * len(own) // (len(sampled) * vector_block)))
+        # a cell holds about a block, and the sample has some rows for each direction
+        cells = min(len(own) // DIRECTION_ROWS, -(-n_rows * len(own) // (len(sampled) * vector_block)))
         if cells > 1:
             centres[dim] = directions(own, cells, seed)
             visit[dim] = visits(own, centres[dim], k, coarse_recall)
