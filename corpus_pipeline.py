@@ -2,6 +2,11 @@
 
 Stages are functions of (spark, docs, sf_dir); the result of one is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Defined cases: a null text counts as empty in every stage, and empty texts are scored, folded, linked and packed like
+others; null identifiers sort last, so such a row stays only where its whole group has none; rows that repeat identifier
+and text are reduced to one by the exact stage; columns beyond those of documents pass through the first four stages under
+their own names, whatever these are; without labels nothing is rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
