@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.jsonl import file_digests, prefix_sums
+from millrace.sources.files import file_digests
+from millrace.sources.jsonl import prefix_sums
 from millrace.sources.shared import cut
 
 

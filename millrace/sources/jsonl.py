@@ -101,8 +101,3 @@ def write_document(spark: SparkSession, doc: dict, path: str) -> None:
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (document_text)."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document_text")
-
-
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, sha256) of the files below a path."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -254,3 +254,93 @@ def test_floats_as_python_spells_them(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.python_float("v").alias("s")).collect()
     wrong = [(r["v"], r["s"]) for r in got if r["s"] != repr(r["v"])]
     assert [v for v, _ in wrong if v != 5e-324] == []
+
+
+def test_files_of_any_size_and_where_they_changed(spark, tmp_path):
+    import hashlib
+
+    from millrace.sources import files
+
+    rng = random.Random(1)
+    folder = tmp_path / "files"
+    folder.mkdir()
+    contents = {"a": rng.randbytes(11 * files.CHUNK + 5), "b": b"", "c": rng.randbytes(files.CHUNK), "d": b"x"}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    got = {r["path"].rpartition("/")[2]: r["sha256"] for r in files.file_digests(spark, str(folder)).collect()}
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in contents.items() if data}
+    before = spark.createDataFrame(files.tree(spark, str(folder), fan_out=4, span=4 * files.CHUNK).collect())
+    assert {r["path"].rpartition("/")[2]: r["n"] for r in before.where("level = 0").groupBy("path").agg(F.count("*").alias("n")).collect()} == {"a": 12, "c": 1, "d": 1}
+    leaves = [r["sha256"] for r in before.where("level = 0 and path like '%/a'").orderBy("place").collect()]
+    up = lambda xs: [hashlib.sha256("".join(xs[k : k + 4]).encode()).hexdigest() for k in range(0, len(xs), 4)]
+    assert [r["sha256"] for r in before.where("path like '%/a' and level = 2").collect()] == up(up(leaves))
+    data = bytearray(contents["a"])
+    data[7 * files.CHUNK + 3] ^= 1
+    (folder / "a").write_bytes(bytes(data) + b"z" * files.CHUNK)
+    (folder / "e").write_bytes(b"new")
+    found = sorted((r["path"].rpartition("/")[2], r["first_byte"] // files.CHUNK, r["change"]) for r in files.changed(before, files.tree(spark, str(folder), fan_out=4, span=4 * files.CHUNK)).collect())
+    assert found == [("a", 7, "changed"), ("a", 11, "changed"), ("a", 12, "added"), ("e", 0, "added")]
+
+
+def test_appends_resume(spark, tmp_path):
+    from millrace.sources import append
+
+    folder = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([(f"k{i:03d}", i) for i in range(60)] + [("k000", 0)], "key string, v int").repartition(4)
+    read = lambda: {(d := json.loads(r["value"]))["key"]: (d["id"], d["v"]) for r in append.read(spark, folder).collect()}
+    assert append.append(rows.where("v < 25"), folder, "key") == 25
+    assert append.append(rows.where("v < 25"), folder, "key") == 0
+    jsonl.write(rows, f"{folder}/data/00001")  # what a run that broke off has left
+    assert len(read()) == 25
+    assert append.append(rows, folder, "key") == 35 and append.append(rows, folder, "key") == 0
+    assert read() == {f"k{i:03d}": (f"gen-{i:05d}", i) for i in range(60)} and append.read(spark, folder).count() == 60
+    with pytest.raises(ValueError, match="without"):
+        append.append(spark.createDataFrame([(None, 1)], "key string, v int"), folder, "key")
+
+
+def test_routed_stream_writes_each_row_once_after_a_restart(spark, tmp_path, monkeypatch):
+    from millrace.streaming import sinks
+
+    schema = "id long, problem string"
+    put = lambda name, ids: spark.createDataFrame([(i, "bad" if i % 3 == 0 else None) for i in ids], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    put("a", range(10))
+
+    def start():
+        live = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        return sinks.routed(live, f"{tmp_path}/good", f"{tmp_path}/bad", "problem", f"{tmp_path}/checkpoint")
+
+    real, calls = sinks.write, []
+
+    def failing(df, path):
+        calls.append(path)
+        real(df, path)
+        if len(calls) == 3:  # after the good rows of the second batch are written
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "write", failing)
+    start().awaitTermination()
+    put("b", range(10, 20))
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    put("c", range(20, 30))
+    start().awaitTermination()
+    ids = lambda folder: sorted(json.loads(r["value"])["id"] for r in spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/{folder}").collect())
+    assert ids("good") == [i for i in range(30) if i % 3] and ids("bad") == [i for i in range(30) if i % 3 == 0]
+
+
+def test_windowed_counts_drop_rows_behind_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from millrace.streaming import curation as stream
+
+    day = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    schema = "at timestamp, validation_error string, quality_filter_reason string"
+    parts = [[(day(1), None, None), (day(1, 30), "e", None), (day(6), None, "r")], [(day(1, 10), None, None), (day(6, 5), None, None), (day(9), None, None)], [(day(20), None, None)]]
+    (tmp_path / "in").mkdir()
+    live = stream.counts(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), "at")
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        live.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = {r["window"]["start"].hour: (r["passed"], r["failed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    # the row of 1:10 comes after the window of one o'clock was closed
+    assert got == {1: (1, 1), 6: (1, 1), 9: (1, 0)}
