@@ -15,9 +15,10 @@ from millrace.functions.recover import VARIANTS, answer, recover
 from millrace.operators import contract, conversation, dedup_index, metrics, quality, scenarios, serving, split
 from millrace.plans import evaluation
 from millrace.plans.queries import FLAGS, ITEMS, SPACE, SPLIT, _raw, docs, query
-from millrace.sources import invoices, jsonl
+from millrace.sources import append, invoices, jsonl
 from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
+from millrace.streaming import sinks
 
 STRIPPED = f"regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')"
 OPTIONAL_NULLS = "(o_orderkey % 4 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 3 = 0)::INT"
@@ -232,3 +233,32 @@ def float_spelling(spark, d):
     x = table(spark, d, "orders").select("o_orderkey", ((F.col("o_totalprice") - 1000) / 7 * scale).alias("v"))
     plain = ((F.abs("v") >= 1e-4) & (F.abs("v") < 1e15)) | (F.col("v") == 0)
     return x.select("o_orderkey", F.when(plain, X.python_float("v")).alias("spelled"))
+
+
+# queries that write files have no SQL; the tests hold them against plain Python
+
+
+def _new_folder(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def resumed_append(spark, d):
+    """Documents appended in runs that overlap: every one once, under identifiers that go on."""
+    x, folder = docs(spark, d).select(F.format_string("%012d", "doc_id").alias("key"), "lang"), _new_folder(spark, "append")
+    for part in (F.col("key") < "000000000400", F.col("key") < "000000000700", F.lit(True), F.lit(True)):
+        append.append(x.where(part), folder, "key")
+    line = F.from_json("value", "key string, lang string, id string")
+    return append.read(spark, folder).select(line.alias("x")).select(F.col("x.key").cast("long").alias("doc_id"), "x.id", "x.lang")
+
+
+@query()
+def routed_stream(spark, d):
+    """Documents as a stream, judged by the quality rules and routed; read back from both folders."""
+    folder = _new_folder(spark, "routed")
+    # as a pattern, so that the table may be a folder or one file
+    live = spark.readStream.schema(docs(spark, d).schema).parquet(f"{d}/documents.parque[t]")
+    judged = live.select("doc_id", quality.text_reason(F.col("text")).alias("reason"))
+    sinks.routed(judged, f"{folder}/good", f"{folder}/bad", "reason", f"{folder}/checkpoint").awaitTermination()
+    lines = lambda name: spark.read.option("recursiveFileLookup", "true").text(f"{folder}/{name}").select(F.from_json("value", "doc_id long, reason string").alias("x"), F.lit(name).alias("route"))
+    return lines("good").unionAll(lines("bad")).select("x.*", "route")

@@ -344,3 +344,45 @@ def test_windowed_counts_drop_rows_behind_the_watermark(spark, tmp_path):
     got = {r["window"]["start"].hour: (r["passed"], r["failed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     # the row of 1:10 comes after the window of one o'clock was closed
     assert got == {1: (1, 1), 6: (1, 1), 9: (1, 0)}
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_queries_that_write_files(spark):
+    import os
+
+    from millrace.plans import formats, queries
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables")
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["resumed_append"](spark, DATA).collect()}
+    assert {i: r["id"] for i, r in got.items()} == {i: f"gen-{k:05d}" for k, i in enumerate(sorted(docs))} and all(r["lang"] == docs[i]["lang"] for i, r in got.items())
+    routed = queries.QUERIES["routed_stream"](spark, DATA).collect()
+    want = {r["doc_id"]: r["reason"] for r in queries.QUERIES["quality_reason"](spark, DATA).collect()}
+    assert len(routed) == len(want) and {r["doc_id"]: r["reason"] for r in routed} == want and all((r["route"] == "bad") == (r["reason"] is not None) for r in routed)
+    one = {r["doc_id"]: r["duplicate_of"] for r in queries.QUERIES["dedup_removed"](spark, DATA).collect()}
+    assert {r["doc_id"]: r["duplicate_of"] for r in queries.QUERIES["dedup_incremental"](spark, DATA).collect()} == one
+    assert not {"resumed_append", "routed_stream", "dedup_incremental"} & set(queries.ORACLE) and formats
+
+
+@pytest.mark.parametrize("name", ["recover_lenient", "item_similarity", "split_many", "scenario_weighted", "generation_long", "schema_conformity", "float_spelling"])
+def test_more_queries_equal_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from millrace.plans import formats, queries
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for t in ("events", "part", "orders", "lineitem", "supplier", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, DATA)
+    cur = con.execute(queries.ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns) and formats
+    want = sorted((tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall()), key=str)
+    assert list(map(str, sorted(map(tuple, df.collect()), key=str))) == list(map(str, want))
