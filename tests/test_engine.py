@@ -214,6 +214,32 @@ def test_cost_and_unknown_price(spark):
         cost.with_prices(spark.createDataFrame([("x",)], "model string")).collect()
 
 
+def test_pairs_of_dealt_lists_and_many_sizes(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    rows = []
+    for size in (3, 10, 11, 14, 40, 41, 56, 120, 165):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(9):
+            t = list(base)
+            for _ in range(rng.randrange(0, 1 + size // 9)):
+                t[rng.randrange(size)] = rng.choice(words)
+            rows.append((len(rows), " ".join(t[: size - rng.randrange(0, 1 + size // 5)])))
+    sets = [(i, grams(t)) for i, t in rows]
+    firsts = {}
+    for i, s in sets:
+        firsts.setdefault(frozenset(s), i)
+    reps = [(i, set(s)) for s, i in firsts.items()]
+    near = [(len(s & o) / len(s | o), i, j) for n, (i, s) in enumerate(reps) for j, o in reps[n + 1 :]]
+    want = {(i, j) for x, i, j in near if 25 * x >= 18 - 1e-9}
+    assert len(want) > 50 and sum(0.6 < x < 0.72 for x, _, _ in near) > 20 and max(len(s) for _, s in reps) > 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for list_rows, slots in ((4096, 1 << 20), (8, 1 << 20), (3, 1 << 6)):
+        monkeypatch.setattr(dedup, "LIST_ROWS", list_rows)
+        monkeypatch.setattr(dedup, "ORDER_SLOTS", slots)
+        assert {(x["a"], x["b"]) for x in dedup.similar_pairs(df)[0].collect()} == want
+
+
 DATA = "/root/testdata/sf0.001"
 
 
