@@ -240,6 +240,23 @@ def test_pairs_of_dealt_lists_and_many_sizes(spark, monkeypatch):
         assert {(x["a"], x["b"]) for x in dedup.similar_pairs(df)[0].collect()} == want
 
 
+def test_frequent_shingles_make_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("etaoin") for _ in range(3)) for _ in range(40)]
+    texts = ["".join(rng.choice(parts) for _ in range(60)) for _ in range(150)]
+    texts += [t[:-2] for t in texts[:20]]
+    every = [grams(t) for t in texts]
+    assert sum(bool(s & o) for n, s in enumerate(every) for o in every[n + 1 :]) > 10_000  # nearly all pairs meet at some shingle
+    similar = {(i, j) for i, s in enumerate(every) for j in range(i + 1, len(every)) if 25 * len(s & every[j]) >= 18 * len(s | every[j])}
+    sets = dedup.sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").select("id", "hashes")
+    monkeypatch.setattr(dedup, "LIST_ROWS", 7)
+    rows = dedup.sketches(sets, dedup.Fraction(18, 25))
+    found = [(min(x), max(x)) for x in dedup.candidates(rows, dedup.Fraction(18, 25)).collect()]
+    assert similar <= set(found) and len(found) == len(set(found)) <= 3 * len(similar)
+    old, new = rows.where("id < 75"), rows.where("id >= 75")
+    assert {tuple(x) for x in dedup.candidates(new, dedup.Fraction(18, 25), old).collect()} == {(a, b) for a, b in found if a < 75 <= b}
+
+
 DATA = "/root/testdata/sf0.001"
 
 
