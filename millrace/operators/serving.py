@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import pyjson
 from millrace.functions import text as X
-from millrace.functions.recover import SAID, is_object
-from millrace.operators.contract import RECORD, errors, plain, record
+from millrace.functions.recover import SAID, is_object, unfenced
+from millrace.operators.contract import RECORD, judged, with_judged
 
 
 def reply(raw: Column | str, variant: str) -> Column:
@@ -21,13 +21,12 @@ def reply(raw: Column | str, variant: str) -> Column:
         raise ValueError(f"variant {variant!r} doesn't validate")
     raw = F.coalesce(X.col(raw), F.lit(""))
     no_braces, no_json, few, many = SAID[variant]
-    t = X.strip_fences_by_line(raw) if variant == "cli" else X.strip_fences_anywhere(raw, trailing=True)
+    t = unfenced(raw, variant)
     text = raw if variant == "cli" else t
 
     def of(x: Column) -> Column:
-        known = plain(x["whole"])
-        checked = F.when(x["whole"].isNotNull() & (F.size(errors(x["whole"])) == 0), record(x["whole"]))
-        return F.struct(x["whole"].alias("whole"), x["part"].alias("part"), x["braces"].alias("braces"), F.coalesce(known, checked).alias("record"))
+        valid = lambda j: F.when(x["whole"].isNotNull() & (F.size(j["errors"]) == 0), j["record"])
+        return F.struct(x["whole"].alias("whole"), x["part"].alias("part"), x["braces"].alias("braces"), X.bind(judged(x["whole"]), valid).alias("record"))
 
     def told(x: Column) -> Column:
         # what is cut from an object is the object itself
@@ -39,3 +38,24 @@ def reply(raw: Column | str, variant: str) -> Column:
         return F.struct(value.alias("value"), error.alias("error"), shown.alias("raw"), x["record"].isNotNull().alias("schema_valid"), normal.alias("record"))
 
     return X.bind(X.bind(pyjson.read(t), of), told)
+
+
+def with_reply(df: DataFrame, raw: str, variant: str, name: str) -> DataFrame:
+    """df with ``reply`` as a column. An object that the engine alone can read doesn't go to Python, and steps run as columns."""
+    if variant not in ("api", "cli"):
+        raise ValueError(f"variant {variant!r} doesn't validate")
+    no_braces, no_json, few, many = SAID[variant]
+    t, two, rest, j = (F.col(f"__{name}_{x}") for x in ("text", "two", "rest", "judged"))
+    df = df.withColumn(f"__{name}_text", X.once(unfenced(raw, variant))).withColumn(f"__{name}_two", X.once(pyjson.enclosed(t)))
+    df = df.withColumn(f"__{name}_rest", X.once(pyjson.read(F.when(two.isNull(), t))))
+    df = with_judged(df, rest["whole"], f"__{name}_judged", t, two)
+    valid = (two.isNotNull() | rest["whole"].isNotNull()) & (F.size(j["errors"]) == 0)
+    cut = F.coalesce(F.when(is_object(rest["whole"]), rest["whole"]), rest["part"])
+    other = rest["whole"] if variant == "cli" else F.when(valid, rest["whole"]).otherwise(cut)
+    failed, text = two.isNull() & other.isNull(), F.coalesce(F.col(raw), F.lit("")) if variant == "cli" else t
+    error = F.when(failed, F.when(rest["braces"], no_json).otherwise(no_braces))
+    shown = F.when(failed, F.when(rest["braces"], F.substring(text, 1, many)).otherwise(F.substring(text, 1, few)))
+    normal = F.when(valid, j["record"]) if variant == "cli" else F.lit(None).cast(RECORD)
+    value = F.coalesce(pyjson.first(two), other)
+    out = F.struct(value.alias("value"), error.alias("error"), shown.alias("raw"), valid.alias("schema_valid"), normal.alias("record"))
+    return df.withColumn(name, out).drop(*(f"__{name}_{x}" for x in ("text", "two", "rest", "judged")))
