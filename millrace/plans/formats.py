@@ -223,7 +223,7 @@ _FOUND = (("total_amount", "null", "1"), ("total_amount", "string", "2"), ("tota
 @query(f"WITH {ITEMS} SELECT field, found, n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS found, count(*) AS n FROM r WHERE o_orderkey % 20 IN ({k})" for f, t, k in _FOUND) + ") WHERE n > 0")
 def schema_conformity(spark, d):
     """Where payloads depart from the types of the record's JSON schema."""
-    x = invoices.damaged(spark, d).select(pyjson.parse("ground_truth_json").alias("v"))
+    x = pyjson.with_parsed(invoices.damaged(spark, d), F.col("ground_truth_json"), "v").select("v")
     return contract.departures(x, "v")
 
 
