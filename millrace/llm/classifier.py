@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bounded_batches, table
+from millrace.llm.common import bounded_batches, released, table
 
 #: Statistics of whole texts, in this order; shares are of characters (in UTF-8 bytes) or of words.
 STATISTICS = ("log_chars", "log_words", "log_lines", "upper", "digit", "sign", "blank", "beyond_ascii", "sentence_ends", "word_length", "long_words", "distinct_words", "top_word", "words_with_sign", "short_lines", "repeated_lines")
@@ -52,7 +52,7 @@ def _with_statistics(place: int, kept: int, prefix: str):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in released(batches):
             texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(place))
             rows = np.array([_statistics(t, np) for t in texts], dtype="float64").reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*b.columns[:kept], *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], names=[*b.schema.names[:kept], *(f"{prefix}{s}" for s in STATISTICS)])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def released(batches: Iterable, rows: int | None = None) -> Iterator:
+    """The batches, at most ``rows`` rows at a time; before each, Arrow gives back to the system what earlier ones took.
+
+    Its pool keeps freed memory otherwise, in workers that wait for other tasks too.
+    """
+    import pyarrow as pa
+
+    pool = pa.default_memory_pool()
+    try:
+        for b in batches:
+            for k in range(0, b.num_rows, rows or max(1, b.num_rows)):
+                yield b.slice(k, rows) if rows else b
+                pool.release_unused()
+    finally:
+        pool.release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 

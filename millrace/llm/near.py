@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, components, cut, keep_rows
+from millrace.llm.common import bounded_batches, components, cut, keep_rows, released
 from millrace.llm.simhash import BKTree, spans, text_digest
 
 #: Bits of the wide fingerprints. Pairs at 0.8 differ in 15 % of them or less (19 % for sets of 5), and a standard
@@ -61,7 +61,7 @@ def _bands(shingle: int, bands: int, width: int, seed: int):
         rng = np.random.default_rng(seed)
         flip = rng.integers(0, 1 << 32, bands * width, dtype="uint32")
         factor = rng.integers(0, 1 << 32, bands * width, dtype="uint32") | np.uint32(1)
-        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for b in released(batches, 1000):
             digests, sizes, keys = [], [], []
             for t in b.column(1):
                 text = t.as_py() or b""
@@ -100,7 +100,7 @@ def _sets(shingle: int, seed: int):
         from xxhash import xxh64_intdigest
 
         factors = np.random.default_rng(seed + 1).integers(0, 1 << 63, WIDE // 64, dtype="uint64") * np.uint64(2) + np.uint64(1)
-        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for b in released(batches, 1000):
             found = [_shingles(t.as_py() or b"", shingle, seed, np, xxh64_intdigest) for t in b.column(1)]
             ends = np.cumsum([0, *map(len, found)]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "uint64"), *found]).view("int64")))

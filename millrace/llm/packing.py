@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, table
+from millrace.llm.common import bounded_batches, released, table
 from millrace.llm.tokens import VOCABULARY, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -145,12 +145,12 @@ def _pack(size: int, end: int, vocabulary: str, buffer_tokens: int):
             for i in range(0, len(rows), 4096):
                 yield batch(rows[i : i + 4096])
 
-        for b in batches:
+        for b in released(batches):
             docs, texts = b.column(0).to_pylist(), b.column(1)
             at = 0
             while at < len(docs):
                 n, chars = 0, 0
-                while at + n < len(docs) and (not n or chars < 4_000_000):  # a step holds a few MB of text
+                while at + n < len(docs) and (not n or chars < 1_000_000):  # a step holds about 1 MB of text
                     chars += len(texts[at + n].as_buffer() or b"") if texts[at + n].is_valid else 0
                     n += 1
                 ids, offsets = encode(texts.slice(at, n))
