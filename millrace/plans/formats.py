@@ -125,9 +125,7 @@ _OUTPUT = f"WITH {ITEMS}, o AS (SELECT *, o_orderkey % 12 AS k, ['USD', 'EUR', '
  CASE WHEN k NOT IN (5, 6, 7) THEN currency END AS cli_currency, CASE WHEN k NOT IN (5, 6, 7) THEN o_totalprice + CASE WHEN k = 3 THEN 0.004::DOUBLE ELSE 0::DOUBLE END END AS cli_total FROM o""")
 def serving_replies(spark, d):
     """Replies to model outputs: validity on both surfaces, and the normalised record of the command line."""
-    x = invoices.outputs(spark, d).select("id", "raw_output")
-    for v in ("api", "cli"):
-        x = serving.with_reply(x, "raw_output", v, v)
+    x = serving.with_replies(invoices.outputs(spark, d).select("id", "raw_output"), "raw_output", {v: v for v in ("api", "cli")})
     both = (F.col(f"{v}.{f}").alias(f"{v}_{n}") for v in ("api", "cli") for f, n in (("schema_valid", "valid"), ("error", "error")))
     return x.select("id", *both, F.col("cli.record.currency").alias("cli_currency"), F.col("cli.record.total_amount").alias("cli_total"))
 
